@@ -54,7 +54,8 @@ def canonical(e: Column, kind: Column) -> Column:
     """The form in which mentions of one entity agree: digits alone, lower case, a name with its gender."""
     gender = F.when(e.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("m")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", ""))
+        F.when(kind == "phone", F.regexp_replace(F.regexp_replace(e, r"\D", ""), r"^1(?=\d{10}$)", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(e, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(e, r"^\S+ ", ""))))
         .otherwise(F.lower(e))

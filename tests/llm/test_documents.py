@@ -1,0 +1,375 @@
+"""The operators on documents against plain brute force, on the small tables and on odd rows."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from xxhash import xxh64_intdigest
+
+from keelson.llm import mixing, packing, quality, sharding, simhash, surrogates, toxicity
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(df):
+    return df.select("doc_id", "text", "lang", "source").collect()
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_shards(table, request):
+    df = request.getfixturevalue(table)
+    out = sharding.shard_documents(df).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows_of(df))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
+    each = defaultdict(list)
+    for r in out:
+        each[r.shard].append(r.slot)
+    sizes = [len(each.get(s, [])) for s in range(24)]
+    assert max(sizes) - min(sizes) <= 1 and set(each) <= set(range(24))
+    assert all(sorted(v) == list(range(len(v))) for v in each.values())
+    assert sharding.shard_documents(df).collect().sort(key=str) == out.sort(key=str)
+
+
+def test_matrix_has_exact_margins_and_the_right_law():
+    m = sharding.communication_matrix([7, 0, 30, 13], [20, 10, 20], 3)
+    assert [sum(r) for r in m] == [7, 0, 30, 13] and [sum(c) for c in zip(*m)] == [20, 10, 20]
+    import random
+
+    rng = random.Random(5)
+    drawn = Counter(sharding.hypergeometric(rng, 5, 7, 4) for _ in range(20_000))
+    from math import comb
+
+    for k in range(5):
+        assert abs(drawn[k] / 20_000 - comb(5, k) * comb(7, 4 - k) / comb(12, 4)) < 0.015
+    assert sharding.hypergeometric(rng, 6 * 10**11, 10**12, 10**9) == pytest.approx(375e6, rel=1e-3)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_mix(table, request):
+    df = request.getfixturevalue(table)
+    out = mixing.mix_documents(df).collect()
+    rows = rows_of(df)
+    size = {}
+    for r in rows:
+        size[r.source] = size.get(r.source, 0) + len(WORDS.findall(r.text or ""))
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r.doc_id, len(WORDS.findall(r.text or ""))) for r in rows)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(size.values())
+    while True:  # the rounds of clamping and resharing
+        over = [s for s in free if left * weight[s] / sum(weight[t] for t in free) > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            free.discard(s)
+            left -= target[s]
+        if not free:
+            break
+    for s in free:
+        target[s] = left * weight[s] / sum(weight[t] for t in free)
+    assert sorted(round(t, 6) for t in {(r.source_size, round(r.target, 6)) for r in out} for t in t) == sorted(round(float(x), 6) for x in {(size[s], round(target[s], 6)) for s in size} for x in x)
+    assert all(0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in out)
+    assert sorted(map(tuple, mixing.mix_documents(df).collect()), key=str) == sorted(map(tuple, out), key=str)
+    if table == "docs":
+        by = {r.doc_id: r.source for r in rows}
+        taken = Counter()
+        for r in out:
+            taken[by[r.doc_id]] += r.taken
+        for s in size:
+            longest = max(len(WORDS.findall(r.text)) for r in rows if r.source == s)
+            assert abs(taken[s] - target[s]) <= longest / 2 + 1e-6
+        mixed = Counter(r.doc_id for r in mixing.mix(df).collect())
+        assert mixed == Counter({r.doc_id: r.taken // r.size for r in out if r.taken})
+    assert mixing.mix(df).columns == df.columns
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_packing(table, request, tokenizer):
+    df = request.getfixturevalue(table)
+    out = packing.pack_documents(df).collect()
+    want = Counter()
+    total = 0
+    for r in rows_of(df):
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            piece = ids[at : at + 2048]
+            want[r.doc_id, k, at, len(piece), zlib.crc32(piece.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-total // 2048) + 2
+
+
+def test_fullest_combination_is_the_best():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        lengths = rng.integers(1, 30, rng.integers(1, 9)).tolist()
+        counts = Counter(lengths)
+        first = max(counts)
+        rest = list(lengths)
+        rest.remove(first)
+        sums = {0}
+        for x in rest:
+            sums |= {s + x for s in sums if first + s + x <= 40}
+        found = packing.fullest(counts, 40, first)
+        assert all(counts[k] >= n for k, n in found) and sum(k * n for k, n in found) == first + max(sums)
+    many = {k: 3 for k in range(1, 2049)}
+    used = Counter()
+    for times, combination in packing.bins(many):
+        for k, n in combination:
+            used[k] += times * n
+    assert used == Counter(many)
+
+
+def fingerprint(text):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORDS.findall(text or "")]
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    votes = [0] * 64
+    for g in grams:
+        h = xxh64_intdigest(g.encode(), 42)
+        for b in range(64):
+            votes[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(grams))
+
+
+def roots(nodes, linked):
+    top = {n: n for n in nodes}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_simhash(table, request):
+    df = request.getfixturevalue(table)
+    prints = [(r.doc_id, fingerprint(r.text)) for r in rows_of(df)]
+    nodes = sorted({f for _, f in prints})
+    top = roots(nodes, [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 2])
+    low = {}
+    for i, f in prints:
+        if i is not None:
+            low[top[f]] = min(i, low.get(top[f], i))
+    want = Counter((i, f"{f:016x}", low.get(top[f])) for i, f in prints)
+    assert Counter(map(tuple, simhash.fingerprint_components(df).collect())) == want
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns and kept.count() == len({top[f] for _, f in prints})
+
+
+def test_links_in_dense_groups(spark):
+    """Many fingerprints around few centres, with trees so small that a shard needs several."""
+    rng = np.random.default_rng(4)
+    values = set()
+    for centre in rng.integers(0, 2**63, 6, dtype=np.uint64).tolist():
+        for _ in range(150):
+            f = centre
+            for b in rng.integers(0, 64, rng.integers(0, 7)).tolist():
+                f ^= 1 << b
+            values.add(f)
+    nodes = sorted(values)
+    top = roots(nodes, [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 2])
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    df = spark.createDataFrame([(signed(v),) for v in nodes], "fp long")
+    links = [(a % 2**64, b % 2**64) for a, b in simhash.links(df, tree=8).collect()]
+    assert all((a ^ b).bit_count() <= 64 for a, b in links)
+    classes = defaultdict(set)
+    for n, t in roots(nodes, links).items():
+        classes[t].add(n)
+    want = defaultdict(set)
+    for n, t in top.items():
+        want[t].add(n)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
+    stars = {a: b for a, b in simhash.components(simhash.links(df, tree=8)).collect()}
+    low = {min(g, key=signed): g for g in want.values()}
+    assert stars == {signed(n): signed(k) for k, g in low.items() for n in g if n != k}
+
+
+def metrics(text):
+    words = WORDS.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    seen = Counter(windows)
+    marked = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(marked)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_quality_metrics(table, request):
+    df = request.getfixturevalue(table)
+    out = quality.judged_documents(df).collect()
+    want = Counter()
+    for r in rows_of(df):
+        m = metrics(r.text)
+        want[r.doc_id, *m, m[0] < 50 or 100 * m[4] > 50 * m[0]] += 1
+    assert Counter(tuple(r)[:-1] for r in out) == want
+    assert not any(r.base_failed and r.kept for r in out)
+
+
+def test_quality_sketch_is_close_and_merges(spark):
+    from pyspark.sql import functions as F
+
+    values = [int(x) for x in np.random.default_rng(2).lognormal(5, 2, 3000)]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v long, part int").withColumn("b", quality.bucket(F.col("v")))
+    ends = df.select("v", quality.upper_end(F.col("b")).alias("e")).collect()
+    assert all(r.v <= r.e <= r.v + r.v / 2**quality.SHARP for r in ends)
+    sketch = df.groupBy("part", F.lit("m").alias("metric"), "b").agg(F.count("*").alias("n"))
+    r = quality.quartiles(sketch, []).first()
+    q = np.quantile(values, [0.25, 0.75])
+    assert abs(r.q1 - q[0]) <= 0.05 * q[0] + 1 and abs(r.q3 - q[1]) <= 0.05 * q[1] + 1
+
+
+def test_quality_keeps_the_usual_and_drops_the_odd(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(400)]
+    prose = lambda: " ".join(rng.choice(vocabulary, 120))
+    good = [(i, prose(), "en", "a") for i in range(60)]
+    line = prose()
+    bad = [(100, " ".join(w + "###" for w in prose().split()), "en", "a"), (101, "\n".join(prose()[:60] if k % 4 else line[:60] for k in range(30)), "en", "a"), (102, " ".join(w * 9 for w in prose().split()), "en", "a")]
+    out = {r.doc_id: r.kept for r in quality.judged_documents(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i] for i in range(60)) and not any(out[i] for i in (100, 101, 102))
+
+
+ENTITY = {
+    "email": r"[\w.%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "card": r"\b\d{16}\b", "ip": r"\b\d{1,3}(\.\d{1,3}){3}\b", "secret": r"\b([0-9a-f]{40}|[0-9A-F]{40})\b",
+}
+
+
+def test_surrogates_of_the_table(docs):
+    out = {r.doc_id: r for r in surrogates.surrogate_documents(docs).collect()}
+    mapped, total = defaultdict(set), 0
+    for r in rows_of(docs):
+        new = out[r.doc_id].text
+        spots = sorted({(m.start(), m.end(), k) for k, p in ENTITY.items() for m in re.finditer(p, r.text)})
+        total += len(spots)
+        if not spots and not re.search(r"[\d@]", r.text):
+            assert new == r.text and out[r.doc_id].n_entities == 0
+        if out[r.doc_id].n_entities == 0:
+            assert new == r.text
+        for k, p in ENTITY.items():
+            a, b = [m[0] for m in re.finditer(p, r.text)], [m[0] for m in re.finditer(p, new)]
+            assert len(a) == len(b), (r.doc_id, k)
+            for x, y in zip(a, b):
+                assert x != y
+                mapped[k, x.lower()].add(y.lower())
+        keep = lambda t: re.sub("|".join(ENTITY.values()), "?", t)
+        assert keep(r.text) == keep(new)
+    assert total and all(len(v) == 1 for v in mapped.values())
+    assert len({(k[0], *v) for k, v in mapped.items()}) == len(mapped)
+
+
+def test_surrogates_keep_form_and_coreference(spark):
+    text = "Mr. John Smith (john.smith@corp.example.com), +1 (788) 555-2942 or 788-555-2942, 4111 1111 1111 1111, 4111111111111112, Frau Anna Meier, госпожа Анна Петрова, 10.0.0.1, token = \"DFD1944D2E84F15E89902E34B677EB5A8A7D42AB\". Mr. John Smith"
+    df = spark.createDataFrame([(1, text, 9), (2, None, None), (3, "nothing here, version 2.0", 7)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in surrogates.with_surrogates(df, count="n").collect()}
+    new = out[1].text
+    assert out[1].n_chars == len(new) and out[1].n == 11 and out[2].text is None and out[3].text == "nothing here, version 2.0"
+    for gone in ("John", "Smith", "john", "788", "4111 1111", "Meier", "Петров", "10.0.0.1", "DFD1944"):
+        assert gone not in new
+    m = re.fullmatch(r"(Mr\. (\w+) [A-Z]\w+) \((\S+)@(\S+\.com)\), \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}), (4[\d ]{18}), (4\d{15}), Frau (\w+) (\w+), госпожа (\w+) (\w+), ([\d.]+), token = \"([0-9A-F]{40})\"\. (.*)", new)
+    assert m and m[1] == m[19] and m.group(5, 6, 7) == m.group(8, 9, 10)
+    assert m[2] in surrogates.GIVEN["latin", "m"] and m[13] in surrogates.GIVEN["latin", "f"] and m[15] in surrogates.GIVEN["cyrillic", "f"]
+
+    def valid(n):
+        d = [int(c) for c in reversed(n) if c.isdigit()]
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+    assert valid(m[11]) and not valid(m[12])
+    assert surrogates.with_surrogates(df, key="other").first().text != new
+
+
+def test_surrogates_stay_distinct_when_draws_collide(spark):
+    """Users of one letter have 26 surrogates at the first draw, so the check must draw again."""
+    rows = [(i, f"write to {chr(97 + i % 26)}@{'x' if i < 26 else 'y'}.org now") for i in range(52)]
+    out = surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    old = {t.split()[2] for _, t in rows}
+    new = {r.text.split()[2] for r in out}
+    assert len(new) == 52 and not new & old
+
+
+@pytest.mark.parametrize("table", ["odd", "none"])
+def test_surrogates_of_odd_rows(table, request):
+    df = request.getfixturevalue(table)
+    out = surrogates.with_surrogates(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    assert not [r for r in out.collect() if "example" in (r.text or "") or "4111" in (r.text or "")]
+
+
+def numeric_gradient_case():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    model = {k: v.astype(np.float64) for k, v in toxicity.fresh(rng).items()}
+    words, ids, lengths = toxicity.tokens(pa.array(["one two three two", "four", ""]))
+    _, first, size, _ = toxicity.windows(lengths)
+    line, live = toxicity.laid(ids, first, size)
+    return model, toxicity.features(words), line, live, np.array([1.0, 0.0, 1.0]), np.ones(3)
+
+
+def test_gradient():
+    model, feats, line, live, y, w = numeric_gradient_case()
+    grad = toxicity.gradient(model, feats, line, live, y, w)
+
+    def loss():
+        p = np.matmul(toxicity.inputs(model, feats), model["w"]) + model["bx"]
+        z = toxicity.forward(model, p[0][line], p[1][line[::-1]], live)
+        return float((w * (np.logaddexp(0, z) - y * z)).mean())
+
+    for name in ("w", "bx", "u", "c", "v", "o", "b"):
+        flat = model[name].reshape(-1)
+        g = grad[name].reshape(-1)
+        k = int(np.argmax(np.abs(g)))
+        flat[k] += (step := 1e-2)
+        up = loss()
+        flat[k] -= 2 * step
+        down = loss()
+        flat[k] += step
+        assert (up - down) / (2 * step) == pytest.approx(g[k], rel=0.05, abs=1e-4), name
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.scored_documents(docs, labels)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = out.join(labels, "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+    tp = sum(r.predicted and r.toxic for r in rows)
+    assert tp / sum(r.toxic for r in rows) > 0.8 and tp / sum(r.predicted for r in rows) > 0.8
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+@pytest.mark.parametrize("table", ["odd", "none"])
+def test_toxicity_of_odd_rows(table, request, spark):
+    df = request.getfixturevalue(table)
+    model = toxicity.fit(["you idiot", "fine words", "idiot again", "all is fine"] * 3, [1, 0, 1, 0] * 3, epochs=4)
+    out = toxicity.scores(df, model)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == df.count()
+    assert all(0 <= r.score <= 1 for r in out.collect())
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.trained(df, labels) is None
+    assert toxicity.clean_documents(df, labels).count() == df.count()

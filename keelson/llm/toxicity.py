@@ -11,7 +11,7 @@ from .common import ship
 #: Words of a window and words from one window to the next; neighbours overlap, and windows cover a text to its end.
 WINDOW, STRIDE = 32, 24
 #: Bound on labelled rows that the network is fitted on: toxic ones and others.
-FIT_TOXIC, FIT_OTHER = 1500, 2500
+FIT_TOXIC, FIT_OTHER = 1500, 2000
 THRESHOLD = 0.3
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 17, 16, 6, 6
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 11
@@ -163,6 +163,17 @@ def gradient(model: dict, feats, ids, live, label, weight) -> dict:
     return grad
 
 
+def lexicon(words, part: int = 20_000):
+    """Word buckets, gram buckets in the order of the words, and how many grams each word has."""
+    out = [], [], []
+    for a in range(0, len(words), part):
+        word, gram, of = features(words.slice(a, part))
+        order = np.argsort(of, kind="stable")
+        for column, v in zip(out, (word, gram[order], np.bincount(of, minlength=len(word)))):
+            column.append(v.astype(np.int32))
+    return tuple(np.concatenate(x) for x in out)
+
+
 def windows(lengths):
     """(document, first word, words) of every window of documents with so many words each."""
     lengths = np.asarray(lengths, np.int64)
@@ -205,27 +216,42 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     import pyarrow as pa
 
     distinct, ids, lengths = tokens(pa.array(texts, pa.string()))
-    known, feats = len(distinct), features(distinct)
+    known, ids = len(distinct), ids.astype(np.int32)
+    buckets, grams, each = lexicon(distinct)
+    gram_at = np.cumsum(each) - each
     doc, first, size, count = windows(lengths)
     at = np.cumsum(count) - count
+
+    def taken(used):
+        """Inputs of some of the words."""
+        n = each[used].astype(np.int64)
+        of = np.repeat(np.arange(len(used)), n)
+        return buckets[used], grams[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(gram_at[used], n)], of
+
     rng = np.random.default_rng(seed)
     model = fresh(rng)
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
 
     owner = np.repeat(np.arange(len(y)), lengths)
     who, which = np.divmod(np.unique(owner * known + ids), known)
-    n = [np.bincount(feats[0][which], w[who], 1 << WORD_BITS) for w in (y, 1 - y)]
-    odds = (np.log((n[0] + 0.5) / (y.sum() + 1)) - np.log((n[1] + 0.5) / (len(y) - y.sum() + 1)))[feats[0]]
-    order = np.argsort(feats[2], kind="stable")
-    grams, each = feats[1][order], np.bincount(feats[2], minlength=known)
-    gram_at = np.cumsum(each) - each
-    top = odds[laid(ids, first, size)[0]]
-    top = np.where(np.arange(WINDOW)[:, None] < size, top, -9).max(0)
+    n = [np.bincount(buckets[which], w[who], 1 << WORD_BITS) for w in (y, 1 - y)]
+    odds = (np.log((n[0] + 0.5) / (y.sum() + 1)) - np.log((n[1] + 0.5) / (len(y) - y.sum() + 1)))[buckets].astype(np.float32)
+    del who, which, n
+    top = np.empty(len(first), np.float32)
+    for a in range(0, len(first), 4096):
+        line, live = laid(ids, first[a : a + 4096], size[a : a + 4096])
+        top[a : a + 4096] = np.where(live > 0, odds[line], -9).max(0)
     share, step = float(y.mean()), 0
     for epoch in range(epochs):
         if epoch and epoch % 2 == 0:
-            p = np.matmul(inputs(model, feats), model["w"]) + model["bx"]
-            top = logits(model, p[0], p[1], ids, first, size)
+            for a in range(0, len(first), 4096):  # a part of the windows and the words in them at a time
+                line, live = laid(ids, first[a : a + 4096], size[a : a + 4096])
+                used, local = np.unique(line, return_inverse=True)
+                p = np.matmul(inputs(model, taken(used)), model["w"]) + model["bx"]
+                line = local.reshape(line.shape)
+                for s in range(0, line.shape[1], 4096):
+                    some = line[:, s : s + 4096]
+                    top[a + s : a + s + some.shape[1]] = forward(model, p[0][some], p[1][some[::-1]], live[:, s : s + 4096])
         best = np.lexsort((-top, doc))[at]
         other = np.flatnonzero(y == 0)
         more = at[other] + (rng.random(len(other)) * count[other]).astype(np.int64)
@@ -234,12 +260,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
             some = chosen[s : s + BATCH]
             line, live = laid(ids, first[some], size[some])
             used, local = np.unique(line, return_inverse=True)
-            n = each[used]
-            of = np.repeat(np.arange(len(used)), n)
-            mine = grams[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(gram_at[used], n)]
             label = y[doc[some]]
             weight = np.where(label > 0, (1 - share) / share, 1).astype(np.float32)
-            grad = gradient(model, (feats[0][used], mine, of), local.reshape(line.shape), live, label, weight)
+            grad = gradient(model, taken(used), local.reshape(line.shape), live, label, weight)
             step += 1
             rate = RATE * (1 - 0.9 * step / (epochs * (len(chosen) // BATCH + 1)))
             for k, g in grad.items():

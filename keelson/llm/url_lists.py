@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Length of a time slice in seconds. A key's entries and captures meet slice by slice.
 SLICE = 3600
+ADDED = ("blocked", "matched_key", "category", "listed_since")
 
 
 def normal_url(url: Column) -> Column:
@@ -50,9 +51,10 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     captures.fetch_ts and entries.ts are timestamps. An entry's key is ``d:`` and a domain or ``u:`` and a
     normal URL. Of several active entries, that of the longest key counts. Captures without a host or
-    time, and entries with a null key or time, match nothing. Equal captures are judged once."""
+    time, and entries with a null key or time, match nothing; an action other than ``add`` removes. Equal captures
+    are judged once. Columns of captures named like the added ones are replaced."""
     at = F.unix_timestamp("fetch_ts")
-    rows = captures.withColumns({"__url": normal_url(F.col("url")), "__at": at})
+    rows = captures.select(F.struct("*").alias("row"), normal_url(F.col("url")).alias("__url"), at.alias("__at"))
     asked = rows.select("__url", "__at").filter("__url is not null and __at is not null").distinct()
     probes = asked.select("__url", "__at", F.explode(F.array_distinct(keys_of(F.col("__url")))).alias("key")).withColumn("slice", F.floor(F.col("__at") / SLICE))
     listed = entries.filter("key is not null and ts is not null").select("key", F.unix_timestamp("ts").alias("ts"), "action", "category")
@@ -60,7 +62,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hits = probes.join(spans, ["key", "slice"]).filter("valid_from <= __at and __at < valid_to")
     best = hits.groupBy("__url", "__at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "category", "since")).alias("__hit"))
     out = rows.join(best.withColumnsRenamed({"__url": "__u", "__at": "__t"}), (F.col("__url") == F.col("__u")) & (F.col("__at") == F.col("__t")), "left")
-    return out.select(*captures.columns, F.col("__hit").isNotNull().alias("blocked"), F.col("__hit.key").alias("matched_key"), F.col("__hit.category").alias("category"), F.timestamp_seconds("__hit.since").alias("listed_since"))
+    own = (F.col("row").getField(c).alias(c) for c in captures.columns if c not in ADDED)
+    return out.select(*own, F.col("__hit").isNotNull().alias("blocked"), F.col("__hit.key").alias("matched_key"), F.col("__hit.category").alias("category"), F.timestamp_seconds("__hit.since").alias("listed_since"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

@@ -13,50 +13,56 @@ K = 20
 SCALE = 64
 #: Vectors whose lists a task sorts at once, and queries of a task.
 BLOCK, ASKED = 8192, 4096
+#: Queries whose bounds are computed together, and candidates for each place that are few enough to resolve.
+TOGETHER, FEW = 128, 16
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) in double; vectors null or with null or non-finite components go."""
+    """(vec_id, v): floor(scale * x) in double; vectors null or with null or non-finite components go, rows without an id too."""
     x = F.col("embedding").cast("array<double>")
     bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
-    good = vectors.filter(F.col("embedding").isNotNull()).filter(~F.coalesce(F.exists(x, bad), F.lit(False)))
+    good = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).filter(~F.coalesce(F.exists(x, bad), F.lit(False)))
     return good.select(F.col("vec_id").cast("long"), F.transform(x, lambda e: F.floor(e * float(scale)).cast("long")).alias("v"))
 
 
-def nra(lists, values, q, k):
-    """Rows of one block that may be among the best k for the query ``q``.
+def nra(rows, asked, places):
+    """For each query (row of ``asked``): rows of a block that may be among its best ``places``.
 
-    lists[d]: rows in rising order of component d; values[d]: the components in that order. A list is read from the end
-    at which its products with q[d] are largest. Round by round the next entries of every list are read;
-    a row's lower bound takes the list's smallest product for what it lacks, its upper bound the last product
-    read. It stops when the unseen and all but a few of the seen have an upper bound below the k-th lower
-    bound. Ties stay: only bounds strictly below go."""
+    Every component is a sorted list, read from the end at which its products with the query are largest. A
+    round halves what is left of the lists: all of them are read down to one depth. A row's lower bound takes the
+    list's smallest product for what it lacks, its upper bound the last product read. Which entries are seen
+    depends on depth and end alone, so the bounds of many queries are two matrix products. A query stops when
+    the unseen and all but a few of the seen have an upper bound below the lower bound of the last place. Ties
+    stay: only bounds strictly below go. Sums of integers below 2^24 are exact in float32; beyond, float64 with a
+    slack takes its place."""
     import numpy as np
 
-    m = lists.shape[1]
-    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    dims = np.concatenate([up, down])
-    if not len(dims):
-        return np.arange(m)
-    w = q[dims].astype(np.float64)
-    worst = np.concatenate([values[up, 0] * q[up], values[down, -1] * q[down]]).astype(np.float64)
-    gained, seen = np.zeros(m), np.zeros((m, len(dims)), np.float32)
-    base, step = worst.sum(), max(1, ceil(m / 16))
-    column = np.arange(len(dims))
-    alive = np.arange(m)
-    for a in range(0, m, step):
-        b = min(m, a + step)
-        ids = np.concatenate([lists[up, m - b : m - a][:, ::-1], lists[down, a:b]])
-        products = np.concatenate([values[up, m - b : m - a][:, ::-1], values[down, a:b]]) * w[:, None]
-        gained += np.bincount(ids.ravel(), (products - worst[:, None]).ravel(), m)
-        seen[ids.ravel(), np.repeat(column, b - a)] = 1
-        front = products[:, -1]
-        lower = base + gained
-        # seen entries count their product, the others the front: worst + gained + (front - worst) of what is unseen
-        upper = lower + (front - worst).sum() - seen @ (front - worst).astype(np.float32)
-        bar = np.partition(lower, m - k)[m - k]
-        alive = np.flatnonzero(upper >= bar - 0.5 - 1e-5 * (front - worst).sum())  # scores are integers; the rest is for float32
-        if front.sum() < bar and len(alive) <= 4 * k:
+    m, d = rows.shape
+    order = np.argsort(rows, axis=0, kind="stable")
+    values, rank = np.take_along_axis(rows, order, 0), np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(m)[:, None], 0)
+    reach = float((np.abs(values[[0, -1]]).max(0).astype(float) * np.abs(asked)).sum(1).max())
+    kind, slack = (np.float32, 0.0) if 2 * reach < 2**24 else (np.float64, 1e-9 * reach)
+    weights = np.hstack([np.maximum(asked, 0), np.minimum(asked, 0)]).astype(kind)
+    alive, pending = [None] * len(asked), np.arange(len(asked))
+    for depth in sorted({m - (m >> i) for i in range(1, 5)} - {0} | {m}):
+        seen = np.hstack([rank >= m - depth, rank < depth])
+        worst, front = (np.concatenate(ends) for ends in ((values[0], values[-1]), (values[m - depth], values[depth - 1])))
+        twice = np.hstack([rows, rows])
+        above_worst, below_front = ((seen * (twice - end)).astype(kind).T for end in (worst, front))
+        waiting = []
+        for a in range(0, len(pending), TOGETHER):
+            some = pending[a : a + TOGETHER]
+            w, at = weights[some], m - places[some]
+            lower, unseen = w @ above_worst + (w @ worst.astype(kind))[:, None], w @ front.astype(kind)
+            bar = np.partition(lower, np.unique(at), axis=1)[np.arange(len(some)), at] - slack
+            may = w @ below_front + unseen[:, None] >= bar[:, None]
+            done = (unseen < bar) & (may.sum(1) <= FEW * places[some]) | (depth == m)
+            for i in np.flatnonzero(done):
+                alive[some[i]] = np.flatnonzero(may[i])
+            waiting.append(some[~done])
+        pending = np.concatenate(waiting)
+        if not len(pending):
             break
     return alive
 
@@ -91,20 +97,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
         ask = t.column("ask").to_numpy(zero_copy_only=False)
         rows, row_ids, qs, q_ids, q_keys = x[~ask], ids[~ask], x[ask], ids[ask], t.column("q").to_numpy()[ask]
         out = [], [], [], []
-        if len(rows) and len(qs) and d:
-            lists = np.argsort(rows, axis=0, kind="stable").T.copy()
-            ranks = np.take_along_axis(rows.T, lists, 1)
-        for q, q_id, q_key in zip(qs, q_ids, q_keys) if len(rows) else ():
-            own = int((row_ids == q_id).sum())
+        if len(rows) and len(qs):
+            line = np.sort(row_ids)
+            own = np.searchsorted(line, q_ids, "right") - np.searchsorted(line, q_ids)
             # own rows aren't candidates: with room for them, the k best of the others are kept
-            some = nra(lists, ranks, q, min(len(rows), k + own)) if d else np.arange(len(rows))
-            some = some[row_ids[some] != q_id]
-            score = rows[some] @ q
-            best = np.lexsort((row_ids[some], -score))[:k]
-            out[0].append(np.full(len(best), q_id))
-            out[1].append(np.full(len(best), q_key))
-            out[2].append(row_ids[some][best])
-            out[3].append(score[best])
+            found = nra(rows, qs, np.minimum(len(rows), k + own))
+            for q, q_id, q_key, some in zip(qs, q_ids, q_keys, found):
+                some = some[row_ids[some] != q_id]
+                score = rows[some] @ q
+                best = np.lexsort((row_ids[some], -score))[:k]
+                out[0].append(np.full(len(best), q_id))
+                out[1].append(np.full(len(best), q_key))
+                out[2].append(row_ids[some][best])
+                out[3].append(score[best])
         cat = lambda a: pa.array(np.concatenate(a) if a else np.empty(0, np.int64), pa.int64())
         return pa.Table.from_arrays([cat(a) for a in out], names=["query_id", "q", "vec_id", "score"])
 

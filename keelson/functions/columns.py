@@ -61,8 +61,8 @@ def ltv_total() -> Column:
     return rnd(C("monthly_charges") * F.greatest(F.lit(1), C("tenure_months")), 2)
 
 
-def ltv_projected(p: Column) -> Column:
-    return rnd(C("monthly_charges") * 24.0 * (1.0 - p), 2)
+def ltv_projected(p: Column, monthly: Column | None = None) -> Column:
+    return rnd((C("monthly_charges") if monthly is None else monthly) * 24.0 * (1.0 - p), 2)
 
 
 def ltv_actuarial(monthly: Column, p: Column, margin: float = 0.70, months: float = 60.0) -> Column:
@@ -73,6 +73,24 @@ def remaining_months(p: Column, tenure: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 / F.greatest(F.lit(0.01), p) - tenure)
 
 
+def linear_terms(**changed: Column) -> dict[str, Column]:
+    """What each feature adds to the linear churn score; ``changed`` takes the place of columns of that name."""
+    c, w = lambda name: changed.get(name, C(name)), rules.LINEAR
+    return {
+        "contract_type": F.when(c("contract_type") == "Month-to-month", w["Month-to-month"]).when(c("contract_type") == "Two year", w["Two year"]).otherwise(0.0),
+        "tenure_months": -(c("tenure_months") * w["month"]),
+        "monthly_charges": c("monthly_charges") * w["charge"],
+        "internet_service": F.when(c("internet_service") == "Fiber optic", w["Fiber optic"]).otherwise(0.0),
+        "tech_support": F.when(c("tech_support") == "Yes", -w["tech support"]).otherwise(0.0),
+        "payment_method": F.when(c("payment_method") == "Electronic check", w["Electronic check"]).otherwise(0.0),
+    }
+
+
+def linear_probability(**changed: Column) -> Column:
+    z = reduce(add, linear_terms(**changed).values(), F.lit(rules.LINEAR["intercept"]))
+    return F.round(1 / (1 + F.exp(-z)), 6)
+
+
 def score(p: Column, ltv: Column, max_ltv: Column, tenure: Column, services: Column) -> Column:
     cap = lambda x: F.least(F.lit(100.0), x)
     w = rules.SCORE_WEIGHTS

@@ -22,3 +22,32 @@ STRATEGIES = (
     ("Strategy D: No Intervention (Baseline)", 0.0, 0.0, 0.0),
 )
 RETENTION_CAP = 0.95
+#: Intercept and weights of the linear churn score.
+LINEAR = {"intercept": -1.3, "Month-to-month": 1.1, "Two year": -1.2, "month": 0.03, "charge": 0.01, "Fiber optic": 0.5, "tech support": 0.4, "Electronic check": 0.3}
+#: scenario, new contract, new tech support, new payment method, factor of the monthly charge (None: as it is).
+SCENARIOS = (
+    ("One-year contract", "One year", None, None, 1.0),
+    ("Two-year contract", "Two year", None, None, 1.0),
+    ("Technical support", None, "Yes", None, 1.0),
+    ("Automatic payment", None, None, "Credit card (automatic)", 1.0),
+    ("10% discount", None, None, None, 0.9),
+)
+#: feature, value it is compared with, impact if it holds, impact if not; the order decides ties.
+IMPACT_BASE = 0.26
+IMPACTS = (
+    ("contract_type", "Month-to-month", 0.25, -0.15),
+    ("tenure_months", 12, 0.18, -0.12),
+    ("monthly_charges", 65, 0.12, -0.05),
+    ("tech_support", "No", 0.08, -0.04),
+    ("online_security", "No", 0.06, -0.03),
+    ("payment_method", "Electronic check", 0.05, -0.02),
+)
+#: lowest probability, risk level, confidence, action, offer code, months, share of the charges recovered, steps.
+ACTION_PLANS = (
+    (HIGH_RISK, "CRITICAL CHURN RISK", 96.4, "Immediate Retention Outreach & 15% Contract Upgrade Discount", "RETENTION-FIBER-15", 12.0, 0.70, ("Deploy proactive retention call within 24 hours.", "Offer 15% billing discount for upgrading to a 1-year contract.", "Assign dedicated VIP technical support agent.")),
+    (MEDIUM_RISK, "ELEVATED CHURN RISK", 91.2, "Retention Check-in & Free Speed Boost Add-on", "BOOST-SPEED-FREE", 6.0, 0.50, ("Send targeted email/SMS with 3-month free speed boost.", "Conduct customer satisfaction survey.", "Provide self-service billing optimization guide.")),
+    (0.0, "LOW ATTRITION RISK", 94.8, "Cross-Sell Loyalty Rewards & Upsell Fiber", "LOYALTY-PLUS-500", 12.0, 0.15, ("Reward customer with 500 loyalty points.", "Promote smart home router upgrade.", "Enroll in auto-pay discount program.")),
+)
+#: Bounds of numbers and allowed values that a feature row must keep.
+FEATURE_RANGES = {"tenure_months": (0.0, 120.0), "monthly_charges": (0.0, 500.0), "total_charges": (0.0, 50000.0)}
+FEATURE_VALUES = {"gender": ("Male", "Female"), "partner": ("Yes", "No"), "dependents": ("Yes", "No"), "tech_support": ("Yes", "No", "No internet service"), "online_security": ("Yes", "No", "No internet service")}

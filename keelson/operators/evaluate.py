@@ -44,3 +44,29 @@ def latency(events: DataFrame, keys: list[str]) -> DataFrame:
     picked = rows.groupBy(*keys).agg(at(0).alias("p50"), at(1).alias("p95"), at(2).alias("p99"))
     base = events.groupBy(*keys).agg(F.count("value").alias("n"), rnd(mean("value", 4), 4).alias("avg_value"))
     return base.join(picked, keys)
+
+
+def picked_latency(events: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
+    """n, mean, median, p95, p99, least and most for each key; a percentile is the value at place floor(n * q), from 0."""
+    rows = running(events, keys, column, 8.0)
+    at = lambda r: F.max(F.when((C("before") <= r) & (r < C("before") + C("n")), C("v")))
+    place = lambda q: F.floor(C("total") * F.lit(q))
+    middle = (at(F.floor((C("total") - 1) / 2)) + at(F.floor(C("total") / 2))) / 2
+    picked = rows.groupBy(*keys).agg(middle.alias("median"), at(place(0.95)).alias("p95"), at(place(0.99)).alias("p99"), F.min("v").alias("least"), F.max("v").alias("most"))
+    base = events.groupBy(*keys).agg(F.count(column).alias("n"), rnd(mean(column, 4), 2).alias("avg"))
+    return base.join(picked, keys)
+
+
+def curves(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, tp, fp, tpr, fpr, precision) at each distinct score, taken as the threshold.
+
+    Labels are counted by score, then summed from above by thousandths of the score and within each of them, so no
+    task sees all scores."""
+    counts = df.groupBy(C(score).alias("score")).agg(F.count_if(C(label) == 1).alias("a"), F.count_if(C(label) == 0).alias("b")).withColumn("part", F.floor(C("score") * 1000))
+    whole, above = Window.partitionBy(), Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
+    sums = sums.select("part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"up_{c}") for c in ("pa", "pb")), F.sum("pa").over(whole).alias("pos"), F.sum("pb").over(whole).alias("neg"))
+    down = Window.partitionBy("part").orderBy(F.desc("score"))
+    rows = counts.withColumns({"a": F.sum("a").over(down), "b": F.sum("b").over(down)}).join(sums, "part")
+    tp, fp = C("a") + C("up_pa"), C("b") + C("up_pb")
+    return rows.select("score", tp.alias("tp"), fp.alias("fp"), (tp / C("pos")).alias("tpr"), (fp / C("neg")).alias("fpr"), (tp / (tp + fp)).alias("precision"))

@@ -1 +1,3 @@
 """plans of the retention library."""
+
+from . import decisions, queries  # noqa: F401  (decisions registers its queries with the others)

@@ -222,7 +222,7 @@ many(
 # values, scores, decisions
 SCEN = (("no change", None), ("yearly contract", "One year"), ("two years", "Two year"))
 many(
-    ("score_linear", lambda t: t.sub.select("customer_id", "churn_probability"), "SELECT customer_id, churn_probability FROM sub"),
+    ("score_linear", lambda t: t.sub.select("customer_id", f.linear_probability().alias("churn_probability")), "SELECT customer_id, churn_probability FROM sub"),
     ("score_bundle", lambda t: t.gold.select("customer_id", "predicted_ltv", "projected_future_ltv", "customer_segment"), "SELECT customer_id, predicted_ltv, projected_future_ltv, customer_segment FROM gold"),
     ("score_light", lambda t: t.gold.select("customer_id", "predicted_ltv", f.rnd((1.0 - P()) * 100.0, 1).alias("score")), f"SELECT customer_id, predicted_ltv, {R('(1.0::DOUBLE - churn_probability) * 100.0::DOUBLE', 1)} AS score FROM gold"),
     ("score_batch", lambda t: t.gold.select("customer_id", F.when(C("total_charges") <= 0, "error").otherwise("ok").alias("status"), F.when(C("total_charges") > 0, P()).alias("p")), "SELECT customer_id, CASE WHEN total_charges <= 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN total_charges > 0 THEN churn_probability END AS p FROM gold"),

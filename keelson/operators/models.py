@@ -49,7 +49,7 @@ def weighted(df: DataFrame, label: str = "churn") -> DataFrame:
 
 def classifiers(label: str = "churn") -> dict:
     kw = {"labelCol": label, "weightCol": "weight"}
-    return {"logistic": LogisticRegression(**kw, maxIter=50, regParam=0.01), "forest": RandomForestClassifier(**kw, numTrees=50, maxDepth=6, seed=SEED), "boosted": GBTClassifier(**kw, maxIter=20, maxDepth=4, seed=SEED)}
+    return {"logistic": LogisticRegression(**kw, maxIter=20, regParam=0.01), "forest": RandomForestClassifier(**kw, numTrees=50, maxDepth=6, seed=SEED), "boosted": GBTClassifier(**kw, maxIter=20, maxDepth=4, seed=SEED)}
 
 
 def _judged(scored: DataFrame, label: str) -> dict[str, float]:
@@ -73,7 +73,7 @@ def cross_validated(df: DataFrame, folds: int = 5, label: str = "churn") -> list
     rows = Pipeline(stages=prepared()).fit(rows).transform(rows).select("features", label, "weight").cache()
     out = []
     for name, model in classifiers(label).items():
-        cv = CrossValidator(estimator=model, estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, parallelism=2, seed=SEED).fit(rows)
+        cv = CrossValidator(estimator=model, estimatorParamMaps=[{}], evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, parallelism=4, seed=SEED).fit(rows)
         out.append((name, cv.avgMetrics[0], cv.stdMetrics[0]))
     rows.unpersist()
     return out
@@ -88,7 +88,7 @@ def tuned(df: DataFrame, draws: int = 5, folds: int = 3, label: str = "churn") -
     rows = Pipeline(stages=prepared()).fit(rows).transform(rows).select("features", label, "weight").cache()
     model = classifiers(label)["logistic"]
     grid = [ParamGridBuilder().baseOn({model.regParam: 10 ** rng.uniform(-4, 0), model.elasticNetParam: rng.random()}).build()[0] for _ in range(draws)]
-    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, parallelism=2, seed=SEED).fit(rows)
+    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, parallelism=4, seed=SEED).fit(rows)
     rows.unpersist()
     return [(g[model.regParam], g[model.elasticNetParam], m) for g, m in zip(grid, cv.avgMetrics)]
 

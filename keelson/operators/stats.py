@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def far(df: DataFrame, column: str, z: float) -> DataFrame:
 
 
 def chi2(df: DataFrame, columns, label: str) -> DataFrame:
-    """(name, total, least, dof, chi2, p_value) of each column against the label; Yates' correction on 2 x 2.
+    """(name, total, least, dof, chi2) of each column against the label; Yates' correction on 2 x 2.
 
     Pairs of values are counted first, so what is shuffled doesn't grow with the rows."""
     counts = long(df, columns, "string", label).filter("v is not null").groupBy("name", "v", label).agg(F.count("*").alias("n"))
@@ -67,6 +69,20 @@ def chi2(df: DataFrame, columns, label: str) -> DataFrame:
     return cells.groupBy("name", "total", F.least(C("r") - 1, C("c") - 1).alias("least"), ((C("r") - 1) * (C("c") - 1)).alias("dof")).agg(F.sum(gap * gap / C("e")).alias("chi2"))
 
 
+def chi2_tail(x, dof):
+    """The p-value of a chi-squared statistic: 1 less the series of the incomplete gamma function.
+
+    Far in the tail (below 1e-40) it is 0."""
+    a, h = dof / 2.0, x / 2.0
+    odd = dof % 2 == 1
+    log_gamma = F.aggregate(F.when(dof > 1, F.sequence(F.lit(1), F.floor(a).cast("int"))).otherwise(F.array().cast("array<int>")), F.when(odd, math.log(math.pi) / 2 - math.log(2)).otherwise(0.0), lambda g, i: g + F.ln(i + F.when(odd, 0.5).otherwise(0.0)))
+    first = F.exp(a * F.ln(h) - h - log_gamma)
+    start = F.struct(first.alias("term"), first.alias("total"))
+    step = lambda s, n: F.struct((s["term"] * h / (a + n)).alias("term"), (s["total"] + s["term"] * h / (a + n)).alias("total"))
+    below = F.aggregate(F.sequence(F.lit(1), F.lit(2000)), start, step, lambda s: s["total"])
+    return F.when(h <= 0, 1.0).when(h > 300 + a + 40 * F.sqrt(a), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - below))
+
+
 def mutual_information(df: DataFrame, columns, label: str) -> DataFrame:
     counts = long(df, columns, "string", label).groupBy("name", "v", label).agg(F.count("*").alias("n"))
     of = lambda *by: F.sum("n").over(Window.partitionBy(*by)).cast("double")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import decide, evaluate
+from ..operators import decide, evaluate, models
+from ..streaming import arrivals
 from .queries import A, C, R, many
 
 _text = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
@@ -54,3 +55,19 @@ many(
     ("ev_curves", lambda t: evaluate.curves(t.sub, "churn_probability", "churn"), "WITH g AS (SELECT churn_probability AS score, count_if(churn = 1) AS a, count_if(churn = 0) AS b FROM sub GROUP BY 1), h AS (SELECT score, CAST(sum(a) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(b) OVER (ORDER BY score DESC) AS BIGINT) AS fp, CAST(sum(a) OVER () AS DOUBLE) AS pos, CAST(sum(b) OVER () AS DOUBLE) AS neg FROM g) SELECT score, tp, fp, tp / pos AS tpr, fp / neg AS fpr, tp / CAST(tp + fp AS DOUBLE) AS precision FROM h"),
     ("agg_latency", lambda t: evaluate.picked_latency(t.events, ["event_type"]), f"WITH l AS (SELECT event_type, list_sort(list(CAST(value AS DOUBLE))) AS v, count(value) AS n, {R(A('value', 4), 2)} AS avg FROM events GROUP BY 1) SELECT event_type, n, avg, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 AS median, v[CAST(floor(n * 0.95::DOUBLE) AS BIGINT) + 1] AS p95, v[CAST(floor(n * 0.99::DOUBLE) AS BIGINT) + 1] AS p99, v[1] AS least, v[-1] AS most FROM l"),
 )
+
+
+def _fits(names: str, fit):
+    """A table of what fits on the subscribers gave; a fit has no SQL."""
+    return lambda t: t.spark.createDataFrame(fit(t.sub), names)
+
+
+many(
+    ("st_predlog", lambda t: arrivals.by_day(t.events).withColumns({"day": C("day").cast("date"), "total": C("total").cast("double")}), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"),
+    ("ml_split", lambda t: models.split(t.sub)[1].select("customer_id", "churn"), None),
+    ("ml_compare", _fits("model string, auc double, accuracy double, f1 double", lambda sub: models.compare(sub)[1]), None),
+    ("ml_cv", _fits("model string, auc double, std double", models.cross_validated), None),
+    ("ml_tune", _fits("reg double, mixing double, auc double", models.tuned), None),
+    ("ml_ltv", _fits("model string, r2 double, rmse double, mae double", models.value_models), None),
+    ("ml_kmeans", lambda t: models.segments(t.sub)[2].select("customer_id", "cluster", "segment"), None),
+)

@@ -266,7 +266,7 @@ many(
     ("stat_pearson", lambda t: t.sub.agg(*(f.rnd(F.corr(a, b), 6).alias(f"{a}__{b}") for i, a in enumerate(NUM) for b in NUM[:i])), "SELECT " + ", ".join(f"{R(f'corr({a}, {b})', 6)} AS {a}__{b}" for i, a in enumerate(NUM) for b in NUM[:i]) + " FROM sub"),
     ("stat_spearman", lambda t: ranks.average_ranks(ranks.average_ranks(t.sub, "tenure_months", "a"), "monthly_charges", "b").agg(f.rnd(F.corr("a", "b"), 6).alias("rho")), f"SELECT {R('corr(a, b)', 6)} AS rho FROM (SELECT rank() OVER (ORDER BY tenure_months) + (count(*) OVER (PARTITION BY tenure_months) - 1) / 2.0 AS a, rank() OVER (ORDER BY monthly_charges) + (count(*) OVER (PARTITION BY monthly_charges) - 1) / 2.0 AS b FROM sub)"),
     ("stat_crosstab", lambda t: count(t.sub, "contract_type", "churn"), "SELECT contract_type, churn, count(*) AS n FROM sub GROUP BY 1, 2"),
-    ("stat_chi2", lambda t: stats.chi2(t.sub, CAT, "churn").select("name", "dof", f.rnd(C("chi2"), 6).alias("chi2")), "SELECT name, dof, floor(chi2 * 1000000.0 + 0.5) / 1000000.0 AS chi2 FROM chi"),
+    ("stat_chi2", lambda t: stats.chi2(t.sub, CAT, "churn").select("name", "dof", f.rnd(C("chi2"), 6).alias("chi2"), f.rnd(stats.chi2_tail(C("chi2"), C("dof")), 6).alias("p_value")), "SELECT name, dof, floor(chi2 * 1000000.0 + 0.5) / 1000000.0 AS chi2, floor(greatest(0.0::DOUBLE, 1.0::DOUBLE - (SELECT sum(exp((dof / 2.0::DOUBLE + n) * ln(chi2 / 2.0::DOUBLE) - chi2 / 2.0::DOUBLE - lgamma(dof / 2.0::DOUBLE + n + 1))) FROM range(2000) r(n))) * 1000000.0 + 0.5) / 1000000.0 AS p_value FROM chi"),
     ("stat_cramer", lambda t: stats.chi2(t.sub, CAT, "churn").select("name", f.rnd(F.sqrt(C("chi2") / (C("total") * C("least"))), 6).alias("v")), "SELECT name, floor(sqrt(chi2 / (total * least)) * 1000000.0 + 0.5) / 1000000.0 AS v FROM chi"),
     ("stat_mi", lambda t: stats.mutual_information(t.sub, CAT, "churn").select("name", f.rnd(C("mi"), 6).alias("mi")), f"WITH c AS (SELECT name, v, churn, count(*) AS n FROM ({long_sql(CAT, 'VARCHAR')}) GROUP BY 1, 2, 3), m AS (SELECT name, n, sum(n) OVER (PARTITION BY name, v) AS a, sum(n) OVER (PARTITION BY name, churn) AS b, sum(n) OVER (PARTITION BY name) AS s FROM c) SELECT name, {R('sum(n / s::DOUBLE * ln(n::DOUBLE * s / (a::DOUBLE * b)))', 6)} AS mi FROM m GROUP BY 1"),
     ("stat_rate", lambda t: stats.long(t.sub, CAT, "string", "churn").groupBy("name", "v").agg(F.avg("churn").alias("rate")), f"SELECT name, v, avg(churn) AS rate FROM ({long_sql(CAT, 'VARCHAR')}) GROUP BY 1, 2"),

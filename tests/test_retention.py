@@ -69,3 +69,13 @@ def test_collapsed_quintiles_fall_back_to_equal_width(spark):
     df = spark.createDataFrame([(0.0,)] * 90 + [(float(i),) for i in range(1, 11)], "x double")
     out = {r.x: r.q for r in stats.quintiles(df, "x").collect()}
     assert out[0.0] == 1 and out[2.0] == 1 and out[2.0 + 1] == 2 and out[10.0] == 5
+
+
+def test_tail_of_chi_squared(spark):
+    """Known values of the distribution: closed forms for 1, 2, 3 and 4 degrees of freedom."""
+    import math
+
+    want = {1: lambda x: math.erfc(math.sqrt(x / 2)), 2: lambda x: math.exp(-x / 2), 3: lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 4: lambda x: math.exp(-x / 2) * (1 + x / 2)}
+    rows = spark.createDataFrame([(float(x), d) for x in (0.0, 0.01, 1.0, 3.84, 50.0, 400.0, 1e6) for d in want], "x double, dof long")
+    for r in rows.withColumn("p", stats.chi2_tail(F.col("x"), F.col("dof"))).collect():
+        assert r.p == pytest.approx(want[r.dof](r.x), abs=1e-11)

@@ -66,8 +66,6 @@ many(
     ("st_predlog", lambda t: arrivals.by_day(t.events).withColumns({"day": C("day").cast("date"), "total": C("total").cast("double")}), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"),
     ("ml_split", lambda t: models.split(t.sub)[1].select("customer_id", "churn"), None),
     ("ml_compare", _fits("model string, auc double, accuracy double, f1 double", lambda sub: models.compare(sub)[1]), None),
-    ("ml_cv", _fits("model string, auc double, std double", models.cross_validated), None),
-    ("ml_tune", _fits("reg double, mixing double, auc double", models.tuned), None),
     ("ml_ltv", _fits("model string, r2 double, rmse double, mae double", models.value_models), None),
     ("ml_kmeans", lambda t: models.segments(t.sub)[2].select("customer_id", "cluster", "segment"), None),
 )

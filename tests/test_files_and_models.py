@@ -99,3 +99,11 @@ def test_segments(spark):
     medians = {r.segment: r.m for r in rows.groupBy("segment").agg(F.median("total_charges").alias("m")).collect()}
     known = [s for s in models.SEGMENTS if s in medians]
     assert len(known) >= 3 and [medians[s] for s in known] == sorted((medians[s] for s in known), reverse=True)
+
+
+def test_folds_and_draws(spark):
+    sub = subscribers(spark, SF)
+    draws = models.tuned(sub, draws=2, folds=2)
+    assert len(draws) == 2 and all(0.5 < auc <= 1 for _, _, auc in draws)
+    folds = models.cross_validated(sub, folds=2)
+    assert [name for name, *_ in folds] == ["logistic", "forest", "boosted"] and all(0.5 < auc <= 1 for _, auc, _ in folds)

@@ -51,3 +51,15 @@ ACTION_PLANS = (
 #: Bounds of numbers and allowed values that a feature row must keep.
 FEATURE_RANGES = {"tenure_months": (0.0, 120.0), "monthly_charges": (0.0, 500.0), "total_charges": (0.0, 50000.0)}
 FEATURE_VALUES = {"gender": ("Male", "Female"), "partner": ("Yes", "No"), "dependents": ("Yes", "No"), "tech_support": ("Yes", "No", "No internet service"), "online_security": ("Yes", "No", "No internet service")}
+#: Contact windows by whether the risk is critical, actions and message of a retention plan; marks stand for the subscriber's values.
+CONTACT = {True: "CRITICAL (Contact within 24 Hours)", False: "HIGH (Contact within 48 Hours)"}
+PLAN_ACTIONS = (
+    "Review account history and identify primary friction point (Current contract: '{contract}').",
+    "Initiate proactive customer success outreach call (Target priority: {priority}).",
+    "Present annual contract upgrade offer with 12-month billing lock.",
+    "Enroll account in VIP technical support escalation tier.",
+)
+PLAN_MESSAGE = (
+    "Dear Valued Customer,\n\nThank you for being a loyal subscriber for the past {tenure} months. We noticed your current contract is up for renewal, and we want to ensure you are receiving the highest quality service.\n\n"
+    "We are pleased to offer you an exclusive 15% billing credit when you lock in a 12-month plan today, along with complimentary priority technical support.\n\nBest regards,\nSubscriber Success Team"
+)

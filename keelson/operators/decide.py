@@ -79,3 +79,17 @@ def feature_errors(df: DataFrame) -> DataFrame:
         found.append((name, F.when(C(name).isNull(), "missing").when(~C(name).isin(*allowed), "not allowed")))
     rows = F.array_compact(F.array(*(F.when(e.isNotNull(), F.struct(F.lit(n).alias("feature"), e.alias("error"))) for n, e in found)))
     return df.select("customer_id", F.inline(rows))
+
+
+def retention_plan(sub: DataFrame) -> DataFrame:
+    """Contact window, risk level, actions and message of every subscriber."""
+    p = C("churn_probability")
+    priority = F.when(p >= rules.HIGH_RISK, rules.CONTACT[True]).otherwise(rules.CONTACT[False])
+
+    def filled(template: str) -> Column:
+        out = F.lit(template)
+        for mark, value in (("{contract}", C("contract_type")), ("{priority}", priority), ("{tenure}", C("tenure_months").cast("string"))):
+            out = F.replace(out, F.lit(mark), value) if mark in template else out
+        return out
+
+    return sub.select("customer_id", priority.alias("priority"), f.tier3(p, ("CRITICAL", "HIGH", "MEDIUM")).alias("risk_level"), F.array(*map(filled, rules.PLAN_ACTIONS)).alias("actions"), filled(rules.PLAN_MESSAGE).alias("message"))

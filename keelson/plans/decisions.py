@@ -51,6 +51,7 @@ many(
     ("attr_global", lambda t: _ranked(t), _linear.replace("FROM x JOIN mean USING (feature)", "FROM x JOIN mean USING (feature) WHERE k % 2 = 1") + "SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS place FROM imp"),
     ("win_running", lambda t: _ranked(t).select("feature", F.sum(C("importance").cast("decimal(18,6)")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("total")), _linear.replace("FROM x JOIN mean USING (feature)", "FROM x JOIN mean USING (feature) WHERE k % 2 = 1") + "SELECT feature, CAST(sum(CAST(importance AS DECIMAL(18,6))) OVER (ORDER BY importance DESC, feature) AS DOUBLE) AS total FROM imp"),
     ("rec_plan", lambda t: decide.action_plan(t.sub).withColumn("steps", F.array_join("steps", " | ")), f"SELECT customer_id, {_plan(1)} AS risk_level, {_plan(2)} AS confidence, {_plan(3)} AS action, {_plan(4)} AS offer_code, {R(f'monthly_charges * {_plan(5)} * {_plan(6)}', 2)} AS recoverable, {_steps} AS steps FROM sub"),
+    ("rec_retplan", lambda t: decide.retention_plan(t.sub).withColumn("actions", F.array_join("actions", " | ")), f"WITH c AS (SELECT *, CASE WHEN churn_probability >= 0.61 THEN {_text(rules.CONTACT[True])} ELSE {_text(rules.CONTACT[False])} END AS priority FROM sub) SELECT customer_id, priority, CASE WHEN churn_probability >= 0.61 THEN 'CRITICAL' WHEN churn_probability >= 0.40 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level, replace(replace({_text(' | '.join(rules.PLAN_ACTIONS))}, '{{contract}}', contract_type), '{{priority}}', priority) AS actions, replace({_text(rules.PLAN_MESSAGE)}, '{{tenure}}', CAST(tenure_months AS VARCHAR)) AS message FROM c"),
     ("dq_feature", lambda t: decide.feature_errors(_fed(t)), f"WITH fed AS (SELECT sub.* EXCLUDE (gender, total_charges), raw.gender, trim(raw.\"TotalCharges\") AS total_charges FROM sub JOIN raw ON raw.row_no = sub.k * 2) SELECT * FROM ({_errors}) WHERE error IS NOT NULL"),
     ("ev_curves", lambda t: evaluate.curves(t.sub, "churn_probability", "churn"), "WITH g AS (SELECT churn_probability AS score, count_if(churn = 1) AS a, count_if(churn = 0) AS b FROM sub GROUP BY 1), h AS (SELECT score, CAST(sum(a) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(b) OVER (ORDER BY score DESC) AS BIGINT) AS fp, CAST(sum(a) OVER () AS DOUBLE) AS pos, CAST(sum(b) OVER () AS DOUBLE) AS neg FROM g) SELECT score, tp, fp, tp / pos AS tpr, fp / neg AS fpr, tp / CAST(tp + fp AS DOUBLE) AS precision FROM h"),
     ("agg_latency", lambda t: evaluate.picked_latency(t.events, ["event_type"]), f"WITH l AS (SELECT event_type, list_sort(list(CAST(value AS DOUBLE))) AS v, count(value) AS n, {R(A('value', 4), 2)} AS avg FROM events GROUP BY 1) SELECT event_type, n, avg, (v[(n - 1) // 2 + 1] + v[n // 2 + 1]) / 2 AS median, v[CAST(floor(n * 0.95::DOUBLE) AS BIGINT) + 1] AS p95, v[CAST(floor(n * 0.99::DOUBLE) AS BIGINT) + 1] AS p99, v[1] AS least, v[-1] AS most FROM l"),

@@ -63,3 +63,26 @@ PLAN_MESSAGE = (
     "Dear Valued Customer,\n\nThank you for being a loyal subscriber for the past {tenure} months. We noticed your current contract is up for renewal, and we want to ensure you are receiving the highest quality service.\n\n"
     "We are pleased to offer you an exclusive 15% billing credit when you lock in a 12-month plan today, along with complimentary priority technical support.\n\nBest regards,\nSubscriber Success Team"
 )
+#: Values of columns that a table of subscribers doesn't have.
+COLUMN_DEFAULTS = {
+    "gender": "Female", "senior_citizen": 0, "partner": "No", "dependents": "No", "tenure_months": 12, "phone_service": "Yes", "multiple_lines": "No", "internet_service": "Fiber optic", "online_security": "No", "online_backup": "No",
+    "device_protection": "No", "tech_support": "No", "streaming_tv": "No", "streaming_movies": "No", "contract_type": "Month-to-month", "paperless_billing": "Yes", "payment_method": "Electronic check", "monthly_charges": 70.0, "total_charges": 840.0,
+}
+#: Columns of a model's input: type, lowest value, allowed values. None may be null.
+MODEL_INPUT = {
+    "customer_id": ("string", None, None), "tenure_months": ("int", 0, None), "monthly_charges": ("double", 0, None), "total_charges": ("double", 0, None), "contract_type": ("string", None, None),
+    "paperless_billing": ("string", None, ("Yes", "No")), "internet_service": ("string", None, None), "tech_support": ("string", None, None),
+}
+#: Outreach by tone: subject, greeting and sign-off around one body; %1$s is the subscriber, %2$s the months.
+TONES = {
+    "Friendly": ("A special thank you for your %2$s months with us!", "Hi Account #%1$s,", "Warmly,\nYour Customer Success Team"),
+    "Urgent": ("Priority Account Review & Exclusive Offer for Account #%1$s", "Dear Valued Account #%1$s,", "Sincerely,\nExecutive Customer Success Desk"),
+    "Professional": ("Exclusive Annual Plan Upgrade Offer for Account #%1$s", "Dear Account #%1$s,", "Best regards,\nCustomer Retention Team"),
+}
+#: %1$s months, %2$s contract, %3$s strategy, %4$.2f monthly charge, %5$.2f saved in a year.
+OUTREACH = (
+    "We truly value your %1$s-month partnership with us. To show our appreciation and ensure you receive the best value for your subscription, we would like to invite you to upgrade your current %2$s subscription to our **%3$s**.\n\n"
+    "**Your Personalized Offer Summary**:\n• Current Monthly Spend: $%4$.2f/mo\n• Recommended Action: %3$s\n• Estimated Annual Savings: $%5$.2f\n• Dedicated VIP Tech Support Included\n\n"
+    "Please let us know if you would like us to apply this credit to your account today."
+)
+OUTREACH_SAVING, OUTREACH_LTV = 0.15, 0.35

@@ -93,3 +93,27 @@ def retention_plan(sub: DataFrame) -> DataFrame:
         return out
 
     return sub.select("customer_id", priority.alias("priority"), f.tier3(p, ("CRITICAL", "HIGH", "MEDIUM")).alias("risk_level"), F.array(*map(filled, rules.PLAN_ACTIONS)).alias("actions"), filled(rules.PLAN_MESSAGE).alias("message"))
+
+
+def best_strategy() -> Column:
+    """The strategy of the highest net value, the earlier one on ties; found within the row."""
+    annual, keep = C("monthly_charges") * 12.0, 1.0 - C("churn_probability")
+    options = []
+    for i, (name, share, fixed, cut) in enumerate(rules.STRATEGIES):
+        kept = rnd(F.least(F.lit(rules.RETENTION_CAP), keep + cut) if cut else keep, 3)
+        net = rnd(rnd(kept * annual, 2) - rnd(annual * share + fixed, 2), 2)
+        options.append(F.struct(net.alias("net"), F.lit(-i).alias("earlier"), F.lit(name).alias("strategy")))
+    return F.array_max(F.array(*options))["strategy"]
+
+
+def outreach(sub: DataFrame, tone: str = "Professional") -> DataFrame:
+    """A message to every subscriber with the best strategy, in one of the tones of the rules."""
+    subject, greeting, close = rules.TONES[tone]
+    rows = sub.withColumns({"strategy": best_strategy(), "ltv": f.ltv_total()})
+    filled = lambda s: F.format_string(s, C("customer_id"), C("tenure_months").cast("string"))
+    monthly = C("monthly_charges")
+    body = F.format_string(rules.OUTREACH, C("tenure_months").cast("string"), "contract_type", "strategy", monthly, monthly * 12.0 * rules.OUTREACH_SAVING)
+    return rows.select(
+        "customer_id", F.lit(tone).alias("tone"), rnd(C("churn_probability") * 100.0, 1).alias("churn_pct"), C("ltv").alias("predicted_ltv"), "strategy", filled(subject).alias("subject"),
+        F.concat_ws("\n\n", filled(greeting), body, F.lit(close)).alias("body"), rnd(C("ltv") * rules.OUTREACH_LTV, 2).alias("saved"),
+    )

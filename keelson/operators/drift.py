@@ -54,3 +54,25 @@ def shares(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
 def run(base: DataFrame, now: DataFrame, features) -> DataFrame:
     """One row for each feature, whatever its number of values: psi, severity, n_now."""
     return reduce(DataFrame.unionByName, (psi(base, now, c) for c in features)).withColumn("severity", severity(C("psi")))
+
+
+def by_day(base: DataFrame, now: DataFrame, day: str, column: str, bins: int = 10) -> DataFrame:
+    """(day, feature, psi, n_now) of each day against the baseline, in one pass over the days.
+
+    A day keeps one count for each bin. A day without values within the edges has a null psi."""
+    e = edges(base, column, bins)
+
+    def counted(df: DataFrame, *by: str) -> DataFrame:
+        rows = df.withColumn("__e", e.scalar())
+        n = F.size(F.filter("__e", lambda x: x <= C(column)))
+        inside = (C(column) >= F.element_at("__e", 1)) & (C(column) <= F.element_at("__e", -1))
+        rows = rows.groupBy(*by, F.when(inside, F.least(n, F.size("__e") - 1)).alias("bin")).agg(F.count("*").alias("n"))
+        return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(C("bin").isNotNull(), F.struct("bin", "n")))).alias("m"))
+
+    rows = counted(now, day).withColumns({"__base": counted(base).scalar(), "__bins": e.select(F.sequence(F.lit(1), F.size("e") - 1)).scalar()})
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    full = lambda m: F.transform("__bins", lambda i: F.coalesce(F.try_element_at(m, i).cast("double"), F.lit(1e-6)))
+    rows = rows.withColumns({"x": full(C("__base")), "y": full(C("m"))}).withColumns({"sx": total(C("x")), "sy": total(C("y"))})
+    gaps = F.zip_with("x", "y", lambda x, y: (y / C("sy") - x / C("sx")) * F.ln((y / C("sy")) / (x / C("sx"))))
+    n = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select(day, F.lit(column).alias("feature"), F.when(n > 0, F.abs(total(gaps))).alias("psi"), n.alias("n_now"))

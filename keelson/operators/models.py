@@ -7,6 +7,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -126,3 +127,110 @@ def segments(df: DataFrame, low: int = 2, high: int = 6) -> tuple[object, list[t
     out = model.transform(points).drop("numbers", "scaled")
     points.unpersist()
     return model, scores, out.join(F.broadcast(segment_ranks(out)), "cluster")
+
+
+#: Parts of the rows to fit that a learning curve is drawn over.
+FRACTIONS = (0.1, 0.325, 0.55, 0.775, 1.0)
+
+
+def classified(df: DataFrame, label: str = "churn") -> DataFrame:
+    """(customer_id, label, probability, prediction) of held-out rows by the logistic model."""
+    fit, judge = (typed(d) for d in split(df))
+    model = Pipeline(stages=[*prepared(), classifiers(label)["logistic"]]).fit(weighted(fit, label))
+    return model.transform(judge).select("customer_id", label, vector_to_array("probability")[1].alias("probability"), C("prediction").cast("int").alias("prediction"))
+
+
+def feature_arrays(df: DataFrame) -> DataFrame:
+    """(customer_id, features): what the stages make of each row."""
+    rows = typed(df)
+    return Pipeline(stages=prepared()).fit(rows).transform(rows).select("customer_id", vector_to_array("features").alias("features"))
+
+
+def learning_curve(df: DataFrame, label: str = "churn", fractions=FRACTIONS) -> list[tuple]:
+    """(fraction, rows, F1 on them, F1 on held-out rows) of the logistic model; F1 is null if a class is missing.
+
+    A fraction is chosen by a hash of the id, so the smaller ones are parts of the larger ones."""
+    fit, judge = (typed(d) for d in split(df))
+    stages = Pipeline(stages=prepared()).fit(fit)
+    fit, judge = (stages.transform(d).select("customer_id", "features", label).cache() for d in (fit, judge))
+    out = []
+    for part in fractions:
+        some = fit.filter(F.pmod(F.xxhash64(F.lit(SEED + 1), "customer_id"), F.lit(10_000)) < round(part * 10_000))
+        n, classes = some.agg(F.count("*"), F.count_distinct(label)).first()
+        scores = (None, None)
+        if classes == 2:
+            model = classifiers(label)["logistic"].fit(weighted(some, label))
+            scores = tuple(MulticlassClassificationEvaluator(labelCol=label, metricName="f1").evaluate(model.transform(d)) for d in (some, judge))
+        out.append((part, n, *scores))
+    fit.unpersist()
+    judge.unpersist()
+    return out
+
+
+RUNS = "model string, version string, run int, status string, n_rows long, metrics map<string,double>"
+
+
+def promoted(champion: dict | None, challenger: dict, metric: str) -> bool:
+    """A challenger replaces a champion only if its metric is higher."""
+    return champion is None or challenger[metric] > champion[metric]
+
+
+def retrained(old: DataFrame, new: DataFrame) -> list[tuple]:
+    """Rows of RUNS: a champion of each model fitted on ``old``, a challenger on ``new``, both judged on held-out rows of ``new``.
+
+    Churn is decided by AUC and value by r2; clusters have no champion and stay in staging."""
+    fits, judge = [typed(split(d)[0]) for d in (old, new)], typed(split(new)[1])
+
+    def churn(rows):
+        return _judged(Pipeline(stages=[*prepared(), classifiers()["logistic"]]).fit(weighted(rows)).transform(judge), "churn")
+
+    def value(rows):
+        stages = [*prepared(tuple(c for c in NUMBERS if c != "total_charges")), LinearRegression(labelCol="total_charges")]
+        scored = Pipeline(stages=stages).fit(rows).transform(judge)
+        return {m: RegressionEvaluator(labelCol="total_charges", metricName=m).evaluate(scored) for m in ("r2", "rmse", "mae")}
+
+    def clusters(rows):
+        return {"silhouette": ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(segmenter(rows).transform(judge))}
+
+    sizes, out = [d.count() for d in fits], []
+    for name, fit, metric in (("churn", churn, "auc"), ("ltv", value, "r2"), ("segmentation", clusters, None)):
+        first, second = fit(fits[0]), fit(fits[1])
+        wins = metric is not None and promoted(first, second, metric)
+        status = ("staging", "staging") if metric is None else ("archived", "production") if wins else ("production", "staging")
+        out += [(name, f"v{i + 1}", i + 1, status[i], sizes[i], m) for i, m in enumerate((first, second))]
+    return out
+
+
+def version_counts(runs: DataFrame) -> DataFrame:
+    """(model, production, versions, flagged): a model without a production version is flagged."""
+    production = F.max(F.when(C("status") == "production", C("version")))
+    return runs.groupBy("model").agg(production.alias("production"), F.count("*").alias("versions")).withColumn("flagged", C("production").isNull())
+
+
+def versions_compared(runs: DataFrame, model: str, a: str, b: str) -> DataFrame:
+    """(metric, a, b, delta) over the metrics of either version; delta is null if one lacks the metric."""
+    side = lambda v, n: runs.filter((C("model") == model) & (C("version") == v)).select(F.explode("metrics").alias("metric", n))
+    return side(a, "a").join(side(b, "b"), "metric", "full").withColumn("delta", F.round(C("b") - C("a"), 6))
+
+
+def picked_runs(runs: DataFrame, metric: dict[str, str]) -> DataFrame:
+    """(model, production, newest, rollback, best): rollback is the newest version that isn't in production, best has the highest metric."""
+    newest = lambda cond: F.max_by("version", F.when(cond, C("run")))
+    names = F.create_map(*(F.lit(x) for pair in metric.items() for x in pair))
+    rows = runs.withColumn("score", F.try_element_at("metrics", F.try_element_at(names, "model")))
+    return rows.groupBy("model").agg(
+        newest(C("status") == "production").alias("production"), newest(F.lit(True)).alias("newest"), newest(C("status") != "production").alias("rollback"), F.max_by("version", F.struct("score", "run")).alias("best")
+    )
+
+
+def segmenter(df: DataFrame, k: int = 4):
+    """A fitted pipeline that gives every row a ``cluster``."""
+    stages = [VectorAssembler(inputCols=list(NUMBERS), outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True), KMeans(k=k, seed=SEED, featuresCol="scaled", predictionCol="cluster")]
+    return Pipeline(stages=stages).fit(typed(df))
+
+
+def assigned(base: DataFrame, rows: DataFrame, k: int = 4) -> DataFrame:
+    """``rows`` with the cluster and segment name by a pipeline fitted on ``base``; names follow the medians of ``base``."""
+    model = segmenter(base, k)
+    names = segment_ranks(model.transform(typed(base)))  # k rows
+    return model.transform(typed(rows)).drop("numbers", "scaled").join(F.broadcast(names), "cluster", "left")

@@ -1,3 +1,3 @@
 """plans of the retention library."""
 
-from . import decisions, queries  # noqa: F401  (decisions registers its queries with the others)
+from . import decisions, histories, queries  # noqa: F401  (the others register their queries with these)

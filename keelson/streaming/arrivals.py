@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import columns as f
 from ..operators import clean, sinks
 from ..sources.files import RAW_SCHEMA
 
@@ -48,3 +49,16 @@ def by_day(events: DataFrame, late: str = "2 days") -> DataFrame:
         rows = rows.withWatermark("at", late)
     out = rows.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(C("value").cast("decimal(18,4)")).alias("total"))
     return out.select(C("w.start").alias("day"), "event_type", "n", "total")
+
+
+def rescore(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Score subscriber rows that were added to a table of Parquet files, now or at each ``every`` (such as ``5 minutes``).
+
+    Each batch is stored as a version of its own, so a replay changes nothing."""
+
+    def store(rows: DataFrame, batch: int) -> None:
+        p = f.linear_probability()
+        sinks.put_version(rows.select("customer_id", p.alias("churn_probability"), f.tier3(p).alias("risk")), table, batch)
+
+    out = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()

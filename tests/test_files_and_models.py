@@ -107,3 +107,41 @@ def test_folds_and_draws(spark):
     assert len(draws) == 2 and all(0.5 < auc <= 1 for _, _, auc in draws)
     folds = models.cross_validated(sub, folds=2)
     assert [name for name, *_ in folds] == ["logistic", "forest", "boosted"] and all(0.5 < auc <= 1 for _, auc, _ in folds)
+
+
+def test_rows_that_are_added_are_scored_once(spark, tmp_path):
+    sub = subscribers(spark, SF)
+    folder, table, checkpoint = (str(tmp_path / p) for p in ("rows", "scores", "check"))
+    sub.filter("k < 40").write.parquet(folder)
+    for _ in range(2):  # the second one finds nothing new
+        arrivals.rescore(spark, folder, sub.schema.simpleString()[7:-1].replace(":", " "), table, checkpoint).awaitTermination()
+    assert spark.read.parquet(table).count() == sub.filter("k < 40").count()
+    sub.filter("k >= 40").write.mode("append").parquet(folder)
+    arrivals.rescore(spark, folder, sub.schema.simpleString()[7:-1].replace(":", " "), table, checkpoint).awaitTermination()
+    want = {r.customer_id: r.churn_probability for r in sub.collect()}
+    assert {r.customer_id: r.churn_probability for r in sinks.newest(spark, table, "customer_id").collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_versions_of_models(spark):
+    runs = spark.createDataFrame(
+        [("churn", "v1", 1, "archived", 9, {"auc": 0.7, "f1": 0.5}), ("churn", "v2", 2, "production", 9, {"auc": 0.8, "accuracy": 0.6}), ("churn", "v3", 3, "staging", 9, {"auc": 0.75}), ("kinds", "v1", 1, "staging", 9, {"silhouette": 0.4})], models.RUNS
+    )
+    assert {tuple(r) for r in models.version_counts(runs).collect()} == {("churn", "v2", 3, False), ("kinds", None, 1, True)}
+    assert {tuple(r) for r in models.versions_compared(runs, "churn", "v1", "v2").collect()} == {("auc", 0.7, 0.8, 0.1), ("f1", 0.5, None, None), ("accuracy", None, 0.6, None)}
+    picked = {tuple(r) for r in models.picked_runs(runs, {"churn": "auc", "kinds": "silhouette"}).collect()}
+    assert picked == {("churn", "v2", "v3", "v3", "v2"), ("kinds", None, "v1", "v1", "v1")}
+    assert models.promoted(None, {"auc": 0.1}, "auc") and not models.promoted({"auc": 0.7}, {"auc": 0.7}, "auc")
+
+
+def test_runs_come_from_fits(spark):
+    sub = subscribers(spark, SF)
+    rows = {(r[0], r[1]): r for r in models.retrained(sub.filter("k % 2 = 0"), sub)}
+    assert set(rows) == {(m, v) for m in ("churn", "ltv", "segmentation") for v in ("v1", "v2")}
+    for m, metric in (("churn", "auc"), ("ltv", "r2")):
+        wins = rows[m, "v2"][5][metric] > rows[m, "v1"][5][metric]
+        assert (rows[m, "v1"][3], rows[m, "v2"][3]) == (("archived", "production") if wins else ("production", "staging"))
+    curve = models.learning_curve(sub, fractions=(0.5, 1.0))
+    assert [c[0] for c in curve] == [0.5, 1.0] and curve[0][1] < curve[1][1] and all(0.5 < x <= 1 for c in curve for x in c[2:])
+    placed = models.assigned(sub.filter("k % 2 = 0"), sub.filter("k % 2 = 1"))
+    assert placed.count() == sub.filter("k % 2 = 1").count() and placed.filter("segment is null").isEmpty()
+

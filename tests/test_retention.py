@@ -79,3 +79,27 @@ def test_tail_of_chi_squared(spark):
     rows = spark.createDataFrame([(float(x), d) for x in (0.0, 0.01, 1.0, 3.84, 50.0, 400.0, 1e6) for d in want], "x double, dof long")
     for r in rows.withColumn("p", stats.chi2_tail(F.col("x"), F.col("dof"))).collect():
         assert r.p == pytest.approx(want[r.dof](r.x), abs=1e-11)
+
+
+def test_ids_are_found_or_made(spark):
+    rows = spark.createDataFrame([(0, " a "), (65_535, "b"), (65_536, "c"), (400_000, "d")], "n long, CustomerID string").repartition(3)
+    assert {r.customer_id for r in clean.with_ids(rows, "n", "7").collect()} == {"a", "b", "c", "d"}
+    made = {r.n: r.customer_id for r in clean.with_ids(rows.drop("CustomerID"), "n", "7").collect()}
+    assert made == {0: "TEL-7-0000", 65_535: "TEL-7-0001", 65_536: "TEL-7-0002", 400_000: "TEL-7-0003"}
+
+
+def test_absent_columns_and_names(spark):
+    r = clean.with_absent_columns(spark.createDataFrame([(None,)], "tenure_months int"), {"tenure_months": 12, "gender": "Female"}).first()
+    assert (r.tenure_months, r.gender) == (None, "Female")
+    assert [clean.display_name(c) for c in ("predicted_ltv", "customer_id", "rfm_persona")] == ["Predicted LTV", "Customer ID", "RFM Persona"]
+    assert clean.plain_name(" Tech-Support Plan ") == "tech_support_plan"
+
+
+def test_drift_by_day(spark):
+    base = spark.range(1000).select((F.col("id") % 100).cast("double").alias("x"))
+    days = base.select(F.lit("same").alias("day"), "x").union(base.select(F.lit("moved"), F.col("x") / 4 + 60)).union(base.limit(3).select(F.lit("far"), F.col("x") + 1000))
+    out = {r.day: r for r in drift.by_day(base, days, "day", "x").collect()}
+    assert out["same"].psi < 1e-9 and out["same"].n_now == 1000
+    assert out["moved"].psi == pytest.approx(drift.psi(base, days.filter("day = 'moved'"), "x").first().psi)
+    assert out["far"].psi is None and out["far"].n_now == 0
+

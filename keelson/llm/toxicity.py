@@ -15,6 +15,8 @@ FIT_TOXIC, FIT_OTHER = 1500, 2000
 THRESHOLD = 0.3
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 17, 16, 6, 6
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 11
+#: Fewest steps of the fit: few labelled rows are gone through in more epochs.
+STEPS = 400
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¿¡«»“”„…"
 #: Bytes of text that are scored at once.
 AT_ONCE = 16 << 20
@@ -242,6 +244,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
         line, live = laid(ids, first[a : a + 4096], size[a : a + 4096])
         top[a : a + 4096] = np.where(live > 0, odds[line], -9).max(0)
     share, step = float(y.mean()), 0
+    epochs = max(epochs, -(-STEPS * BATCH // (len(y) + int((y == 0).sum()))))
     for epoch in range(epochs):
         if epoch and epoch % 2 == 0:
             for a in range(0, len(first), 4096):  # a part of the windows and the words in them at a time

@@ -18,8 +18,8 @@ BLOCKS = 4
 TREE = 512
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): words of the text in lower case (A-Z), shingles of three, a bit for each majority.
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, *more, fp): words of the text in lower case (A-Z), shingles of three, a bit for each majority.
 
     A text of fewer words is one shingle; no words (null, empty): fingerprint 0. ``fp`` is the unsigned
     value in a signed long."""
@@ -32,7 +32,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 words = (text.as_py() or "").encode().lower().split()  # bytes: only A-Z change, only \t-\r and space split
                 if not words:
                     continue
@@ -46,9 +46,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     h = np.array([digest(line[x:y], SEED) for x, y in zip(first[a : a + 65536], last[a : a + 65536])], "<u8")
                     votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[i] = weight[2 * votes > n].sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), *more, "text")
+    return rows.mapInArrow(hashed, ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1]) + ", fp long")
 
 
 def grow(fp, roots):
@@ -211,32 +212,51 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
-    """(doc_id, fp, root, component_id) of every document.
+def near_duplicates(docs: DataFrame, *more: str, radius: int = RADIUS, blocks: int = BLOCKS, tree: int = TREE) -> DataFrame:
+    """(doc_id, *more, fp, root, component_id) of every document.
 
     Equal fingerprints are one node, so copies cost nothing; ``component_id`` is the smallest id of a
     component (null ids are ignored; null if it has no other). Repeated rows come out as often as they
     went in. Null and empty texts have fingerprint 0 and link like any other."""
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs, *more), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     stars = components(links(nodes.select("fp"), radius, blocks, tree))
     rooted = nodes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root")
-    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", *more, "fp", "root", "component_id")
 
 
 def fingerprint_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_hash(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash)."""
+    return docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.col("text").cast("binary")).alias("text_hash"))
+
+
+#: Smallest id first, rows without an id last, then by text.
+FIRST = "min(struct(doc_id IS NULL AS no_id, doc_id, text_hash)) AS first"
+
+
+def first_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The row of ``docs`` for each ``first`` (no_id, doc_id, text_hash); of rows that agree in both, one.
+
+    An id and a text hash occur once in ``firsts``, as a text belongs to one component: no row is doubled and
+    no id, nor its absence, stands for another text."""
+    keep = firsts.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__key"), F.md5(F.col("text").cast("binary")).alias("__text"))
+    found = rows.join(keep, F.col("__text").eqNullSafe(F.col("__hash")) & F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
+    order = F.xxhash64(*(F.col("__row")[c] for c, t in docs.dtypes if "map<" not in t))
+    return found.groupBy("__key", "__text").agg(F.min_by("__row", order).alias("__row")).select("__row.*")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component stays: that of the smallest id, with all columns of ``docs``."""
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    found = near_duplicates(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(key("doc_id").alias("__id"), F.col("root").alias("__root")).distinct()
-    return docs.withColumn("__id", key("doc_id")).join(keep, "__id").dropDuplicates(["__id", "__root"]).select(*docs.columns)
+    found = near_duplicates(text_hash(docs), "text_hash")
+    return first_rows(docs, found.groupBy("root").agg(F.expr(FIRST)))
 
 
 ship(__name__)

@@ -181,6 +181,16 @@ def test_simhash(table, request):
     assert kept.columns == df.columns and kept.count() == len({top[f] for _, f in prints})
 
 
+def test_the_rows_that_stay(spark):
+    """Rows without an id, an id with several texts and copies without an id: one row of each text stays, that of the smallest id."""
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(5))
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (7, d, 4), (7, e, 5), (None, d, 6), (5, c, 7), (6, c, 8), (None, a, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    want = Counter([(None, a, 1), (None, b, 2), (5, c, 7), (7, d, 4), (7, e, 5)])
+    assert Counter(map(tuple, simhash.deduplicated(df).collect())) == want
+
+
 def test_links_in_dense_groups(spark):
     """Many fingerprints around few centres, with trees so small that a shard needs several."""
     rng = np.random.default_rng(4)

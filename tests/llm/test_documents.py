@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from keelson.llm import mixing, packing, quality, sharding, simhash, surrogates, toxicity
+from keelson.llm import mixing, near_copies, packing, quality, sharding, simhash, surrogates, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -189,6 +189,48 @@ def test_the_rows_that_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     want = Counter([(None, a, 1), (None, b, 2), (5, c, 7), (7, d, 4), (7, e, 5)])
     assert Counter(map(tuple, simhash.deduplicated(df).collect())) == want
+    assert Counter(map(tuple, near_copies.without_near_copies(df).collect())) == want
+
+
+def shingles(text):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORDS.findall(text or "")]
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "none"])
+def test_near_copies_of_the_pipeline(table, request, spark):
+    """The stage keeps the smallest id of each component of five-word Jaccard similarity of at least 0.8."""
+    import corpus_pipeline
+
+    df = request.getfixturevalue(table)
+    rows = df.collect()
+    sets = {r: shingles(r.text) for r in rows}
+    nodes = sorted(set(sets.values()), key=sorted)
+    number = {s: i for i, s in enumerate(nodes)}
+    pairs = [(i, j) for j in range(len(nodes)) for i in range(j) if 5 * len(nodes[i] & nodes[j]) >= 4 * len(nodes[i] | nodes[j]) > 0]
+    top = roots(range(len(nodes)), pairs)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[top[number[sets[r]]]].append(r)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    kept = out.collect()
+    assert out.columns == df.columns
+    assert sorted(top[number[sets[r]]] for r in kept) == sorted(groups)
+    assert all(r.doc_id == min((x.doc_id for x in groups[top[number[sets[r]]]] if x.doc_id is not None), default=None) for r in kept)
+    assert table != "docs" or pairs
+
+
+def test_near_copies_in_a_full_bucket(spark):
+    """A chain of near copies, with slices so small that a bucket needs several."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, 200, 4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hashed = near_copies.text_hash(df)
+    from pyspark.sql import functions as F
+
+    nodes = near_copies.sketches(hashed).groupBy("node").agg(F.expr(near_copies.FIRST), F.first("bands").alias("bands")).cache()
+    assert near_copies.components(near_copies.links(nodes, hashed, most=3)).count() == len(texts) - 1
+    assert [r.doc_id for r in near_copies.without_near_copies(df).collect()] == [0]
 
 
 def test_links_in_dense_groups(spark):

@@ -45,7 +45,7 @@ DRAWS = 24
 def entity_type(e: Column) -> Column:
     """The first type whose pattern is all of the entity."""
     out = F.lit("card")
-    for name in reversed(("email", "name", "ip", "ssn", "phone", "secret", "iban")):
+    for name in reversed(("email", "name", "ip", "ssn", "phone", "iban", "secret")):
         out = F.when(e.rlike(rf"^(?:{PATTERNS[name]})$") if name != "secret" else e.rlike(r"^[A-Za-z0-9_/+-]{20,}$") & e.rlike(r"\D"), name).otherwise(out)
     return out
 
@@ -73,12 +73,15 @@ def at(s: Column, i: Column, n: int) -> Column:
     return F.pmod(F.conv(F.substr(s, start, F.lit(4)), 16, 10).cast("int") + i * 7, F.lit(n)).cast("int")
 
 
-def letters(e: Column, s: Column) -> Column:
-    """Every digit becomes a digit and every letter a letter of its case (of a-f, if the entity is hexadecimal); all else stays."""
-    hexa = e.rlike(r"^[0-9a-fA-F]+$")
+def letters(e: Column, s: Column, spaced: bool = False) -> Column:
+    """Every digit becomes a digit and every letter a letter of its case (of a-f, if the entity is hexadecimal); all else stays.
+
+    ``spaced``: spaces don't count as places, so two forms of one entity change alike."""
+    hexa = F.regexp_replace(e, " ", "").rlike(r"^[0-9a-fA-F]+$")
     low = lambda i: F.when(hexa, F.substr(F.lit("abcdef"), at(s, i, 6) + 1, F.lit(1))).otherwise(F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), at(s, i, 26) + 1, F.lit(1)))
     one = lambda c, i: F.when(c.rlike("[0-9]"), at(s, i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(low(i))).when(c.rlike(r"\p{L}"), low(i)).otherwise(c)
-    return F.array_join(F.transform(F.split(e, ""), one), "")
+    place = lambda i: F.length(F.regexp_replace(F.substr(e, F.lit(1), i), " ", ""))
+    return F.array_join(F.transform(F.split(e, ""), (lambda c, i: let(place(i), lambda k: one(c, k))) if spaced else one), "")
 
 
 def digits(e: Column, s: Column, last: int) -> Column:
@@ -138,7 +141,7 @@ def surrogate(e: Column, kind: Column, canon: Column, draw: Column, key: str) ->
         octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (at(s, i, 254) + 1).cast("string")), ".")
         return (
             F.when(kind == "email", mail).when(kind == "name", name(e, canon, s, draw)).when(kind == "ip", octets).when(kind == "phone", digits(e, s, 10))
-            .when(kind == "ssn", digits(e, s, 9)).when(kind == "card", card(e, s)).when(kind == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), letters(F.substr(e, F.lit(3)), s))).otherwise(letters(e, s))
+            .when(kind == "ssn", digits(e, s, 9)).when(kind == "card", card(e, s)).when(kind == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), letters(F.substr(e, F.lit(3)), s, spaced=True))).otherwise(letters(e, s))
         )
 
     return let(stream(kind, canon, draw, key), made)

@@ -354,6 +354,15 @@ def test_surrogates_keep_form_and_coreference(spark):
     assert surrogates.with_surrogates(df, key="other").first().text != new
 
 
+def test_both_forms_of_an_iban_have_one_surrogate(spark):
+    forms = [("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("GB29ABCD60161331926819", "GB29 ABCD 6016 1331 9268 19"), ("FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606")]
+    df = spark.createDataFrame([(i, f"{a} and {b}.") for i, (a, b) in enumerate(forms)], "doc_id long, text string")
+    for r in surrogates.with_surrogates(df, count="n").collect():
+        a, b = r.text.rstrip(".").split(" and ")
+        assert r.n == 2 and a == b.replace(" ", "") and len(b) == len(forms[r.doc_id][1])
+        assert a[:2] == forms[r.doc_id][0][:2] and a != forms[r.doc_id][0]
+
+
 def test_surrogates_stay_distinct_when_draws_collide(spark):
     """Users of one letter have 26 surrogates at the first draw, so the check must draw again."""
     rows = [(i, f"write to {chr(97 + i % 26)}@{'x' if i < 26 else 'y'}.org now") for i in range(52)]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import let, written
 
 #: Titles that announce a person, by gender. Fixed values.
-MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don", "господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña", "госпожа")
+MALE = ("Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Dame", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doña", "госпожа")
+#: Titles without a gender, also after another one; alone they count as the first list.
+LEARNED = ("Dr", "Dra", "Prof", "Doctor", "Doctora", "Doktor", "Docteur", "Professor", "Professeur", "Profesor", "Profesora", "доктор", "профессор")
 #: Given names by script and gender, and syllables of which family names are made. Fixed values.
 GIVEN = {
     ("latin", "m"): ("Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Oscar", "Paul", "Simon"),
@@ -22,21 +24,29 @@ SYLLABLES = {
     "cyrillic": ("ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фа", "хе"),
 }
 
-_TITLES = "|".join(MALE + FEMALE)
+_TITLES = "|".join(MALE + FEMALE + LEARNED)
+#: What announces a name: a title (M. with its full stop only), learned titles after it.
+TITLED = rf"(?:(?:{_TITLES})\.? |M\. )(?:(?:{'|'.join(LEARNED)})\.? )*+"
+#: A word of a name (initials, inner capitals, hyphens, apostrophes), with small words before it.
+_WORD = r"(?:(?:von|van|vom|zu|zum|zur|de|del|della|der|den|des|di|da|do|dos|du|la|las|le|los|ten|ter|bin|ibn|al|el) ){0,3}(?:d['’]|al-|el-)?\p{Lu}(?:\.(?!\p{L})|[\p{L}\p{M}]*+(?:-\p{L}[\p{L}\p{M}]*+|['’]\p{Lu}[\p{L}\p{M}]*+)*+)"
+#: A digit after at most one separator and a bracket.
+_DIGIT = r"(?:(?:[ ./-]|[ ./-]?\(|\)[ ./-]?)?\d)"
 #: Patterns by type; each begins with a character or look-behind that fails fast.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])|(?<=\")(?=[^\"]*\d)[A-Za-z0-9_/+-]{20,128}(?=\")",
-    "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)|\+\d{10,14}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])|(?<=\")(?=[^\"]*\d)[A-Za-z0-9_/+-]{20,}+(?=\")",
+    "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    + rf"|\+\d{_DIGIT}{{6,14}}(?!\d)|\+\d{{1,3}}(?:[ .-]\d{{2,4}}){{2,4}}(?!\d)|(?<![\d.+-])00[1-9]\d{{0,2}}(?=[ ./-]){_DIGIT}{{5,12}}(?!\d)"
+    + r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d.-])(?<!\d )\d{3} \d{3} \d{4}(?! ?\d|-)|(?<![\d.-])(?<!\d )0[1-9](?:[ .-]?\d{2}){4}(?! ?\d|-)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<!\p{{L}}){TITLED}{_WORD}(?: {_WORD})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@]|{_TITLES}"
+HINT = rf"[0-9@]|{_TITLES}|M\. "
 KEY = "surrogate-key-1"
 #: Draws after which the check gives up.
 DRAWS = 24
@@ -54,10 +64,10 @@ def canonical(e: Column, kind: Column) -> Column:
     """The form in which mentions of one entity agree: digits alone, lower case, a name with its gender."""
     gender = F.when(e.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("m")
     return (
-        F.when(kind == "phone", F.regexp_replace(F.regexp_replace(e, r"\D", ""), r"^1(?=\d{10}$)", ""))
+        F.when(kind == "phone", F.regexp_replace(F.regexp_replace(F.regexp_replace(e, r"\(0\)", ""), r"\D", ""), r"^(?:00(?=[1-9])|1(?=\d{10}$))", ""))
         .when(kind.isin("card", "ssn"), F.regexp_replace(e, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
-        .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(e, r"^\S+ ", ""))))
+        .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(e, "^" + TITLED, ""))))
         .otherwise(F.lower(e))
     )
 
@@ -127,7 +137,7 @@ def name(e: Column, canon: Column, s: Column, draw: Column) -> Column:
         parts = F.size(F.split(F.substring_index(canon, ":", -1), " "))
         return F.when(parts > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
 
-    title = F.regexp_extract(e, r"^\S+ ", 0)
+    title = F.regexp_extract(e, "^" + TITLED, 0)
     return F.concat(title, F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
 
 

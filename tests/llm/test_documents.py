@@ -354,6 +354,28 @@ def test_surrogates_keep_form_and_coreference(spark):
     assert surrogates.with_surrogates(df, key="other").first().text != new
 
 
+MENTIONS = [
+    "+33 1 23 45 67 89", "+49 30 12345678", "+34 612345678", "555 123 4567", "+44 (0)20 7946 0958", "0033 1 23 45 67 89", "01 23 45 67 89", "+1 (788) 555-2942", "+442079460958",
+    "ab12" * 50, "AB12" * 33, "Mr. McDonald", "Mr. Jean-Luc Picard", "Dr. Anna Maria Lopez", "Prof. O'Brien", "Sr. Juan Carlos García Márquez", "Sra. Ana de la Cruz", "M. Dupont", "Frau Dr. Meier", "Herr von Bergen", "Mr. J. Smith", "Ms DeVito", "Mrs. D’Angelo-Smith",
+]
+
+
+def test_surrogates_find_the_whole_mention(spark):
+    """Each mention as a whole, within a sentence; nothing of the rest changes."""
+    texts = [f"we met {m}, then \"{'k3y_' * 40}\" left on 3 May. Then 12 345 678 more" for m in MENTIONS]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("doc_id", surrogates.mentions(df.text).alias("found")).collect():
+        assert r.found == [MENTIONS[r.doc_id], "k3y_" * 40]
+    titles = {"Mr.", "Ms", "Mrs.", "Dr.", "Prof.", "Sr.", "Sra.", "M.", "Frau", "Herr"}
+    for r in surrogates.with_surrogates(df).collect():
+        new, old = r.text.split(", then ")[0].removeprefix("we met "), MENTIONS[r.doc_id]
+        assert new != old and r.text.endswith('" left on 3 May. Then 12 345 678 more') and "k3y_" not in r.text
+        if old[-1] in "0123456789":
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old) or "12" in old[:4]
+        elif old.split()[0] in titles:
+            assert new.split()[0] == old.split()[0] and not {*old.split()[1:]} - {"Dr."} & {*new.split()}
+
+
 def test_both_forms_of_an_iban_have_one_surrogate(spark):
     forms = [("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"), ("GB29ABCD60161331926819", "GB29 ABCD 6016 1331 9268 19"), ("FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606")]
     df = spark.createDataFrame([(i, f"{a} and {b}.") for i, (a, b) in enumerate(forms)], "doc_id long, text string")

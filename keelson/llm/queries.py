@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_copies, mixing, nra, packing, preference, quality, sharding, simhash, surrogates, toxicity, url_lists, whitening
+from . import exact_copies, mixing, nra, packing, preference, quality, sharding, simhash, spelling, surrogates, toxicity, url_lists, whitening
 from .common import read
 from .oracles import ORACLES
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op8_bk_tree_near_duplicates": _on("documents", simhash.fingerprint_components),
     "op9_adaptive_quality": _on("documents", quality.judged_documents),
     "op10_water_filling_mix": _on("documents", mixing.mix_documents),
+    "op11_spelling_variants": _on("documents", spelling.spelling_variants),
     "op12_exact_copies": _on("documents", exact_copies.marked_documents),
     "op13_lanczos_whitening": _on("embeddings", whitening.whitened_embeddings),
     "pipeline": _pipeline,

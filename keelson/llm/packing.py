@@ -8,49 +8,100 @@ from pyspark.sql import functions as F
 from .common import ship, written
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of words, and again of other parts of texts, whose ids a worker remembers.
+REMEMBERED = 100 << 20
+#: What an entry takes besides its characters and ids.
+ENTRY = 200
+
+
+def encoder(path: str):
+    """text -> its ids as little-endian bytes.
+
+    The tokenizer composes characters, makes them small, splits words by a pattern that drops white space, writes bytes
+    as letters and then merges. On printable ASCII, its white space and the letters of Latin-1 all but the last are plain:
+    such a text is split here, and each word is merged once by the tokenizer's model. Another text is cut at spaces and
+    line feeds, and its parts that aren't plain, or may hold the name of a special token, go through the whole
+    tokenizer. What is remembered is bounded by bytes."""
+    import os
+    import re
+    from array import array
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    model = tok.model
+    letters = Tokenizer(model)
+    letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    strange = re.compile(r"[^ \t\n\r!-~À-ÖØ-öø-ÿ]").search
+    # the tokenizer's own pattern with the letters and digits of plain texts: a fixed value
+    words = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\ra-zß-öø-ÿ0-9]+").findall
+
+    class Known(dict):
+        size = 0
+
+        def __init__(self, make):
+            self.make = make
+
+        def __missing__(self, key):
+            ids = self.make(key)
+            self.size += len(key) + len(ids) + ENTRY
+            if self.size > REMEMBERED:
+                self.clear()
+                self.size = 0
+            self[key] = ids
+            return ids
+
+    def merged(word):
+        if word.isascii():
+            return array("I", [t.id for t in model.tokenize(word)]).tobytes()
+        return array("I", letters.encode(word, add_special_tokens=False).ids).tobytes()
+
+    of_word = Known(merged).__getitem__
+
+    def of_part(part):
+        if "<|" in part or strange(part):
+            return array("I", tok.encode(part, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(of_word, words(part.lower())))
+
+    of_part = Known(of_part).__getitem__
+
+    def ids(text):
+        if "<|" in text or strange(text):
+            return b"".join(map(of_part, text.replace("\n", " ").split(" ")))
+        return b"".join(map(of_word, words(text.lower())))
+
+    return ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document: its ids, then id 0, cut at ``capacity``.
 
-    The tokenizer drops white space and never joins what it separates, so the ids of a text are those of
-    its parts between spaces and line feeds; a worker encodes each distinct part once."""
+    The encoder lives as long as its worker process: it hangs on a
+    module of its own name, as the functions of this one are sent anew with each task."""
 
     def cut(batches):
-        import os
+        import sys
+        import types
         import zlib
 
-        import numpy as np
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         path = tokenizer_path
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        tok = Tokenizer.from_file(path)
-        known = {"": b""}
+        kept = vars(sys.modules.setdefault("keelson_worker_encoders", types.ModuleType("keelson_worker_encoders")))
+        if path not in kept:
+            kept[path] = encoder(path)
+        encode = kept[path]
         end, width = b"\0\0\0\0", 4 * capacity
         for batch in batches:
             out = [], [], [], [], []
             source = []
             for row, text in enumerate(batch.column(1)):
-                parts = (text.as_py() or "").replace("\n", " ").split(" ")
-                try:
-                    ids = b"".join(map(known.__getitem__, parts))
-                except KeyError:
-                    if len(known) > REMEMBERED:
-                        known = {"": b""}
-                    new = [x for x in set(parts) if x not in known]
-                    for x, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                        known[x] = np.array(e.ids, "<u4").tobytes()
-                    ids = b"".join(map(known.__getitem__, parts))
-                ids += end
+                ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     piece = ids[at : at + width]
                     source.append(row)

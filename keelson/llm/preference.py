@@ -53,22 +53,34 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
 
 def pairs_of(conversations: DataFrame) -> DataFrame:
-    """Pairs of every conversation with an assistant's turn (the table has none).
+    """Pairs of every conversation (the table has none); turns without a conv_id are left to ``lone_turns``.
 
     Chosen: the conversation. Rejected: its turns before the last of the assistant, then the last one of the
-    assistant in the neighbour conversation (ids 2k and 2k + 1), if there is one."""
+    assistant in the neighbour conversation (ids 2k and 2k + 1), if there is one. A conversation without an
+    assistant's turn has no rejected side."""
     c = conversations.select("conv_id", "turn", "role", "text").filter("conv_id is not null")
     last = c.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     reply = c.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
     reply = reply.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("m.text").alias("reply"))
-    c = c.join(last, "conv_id")
+    c = c.join(last, "conv_id", "left")
     chosen = c.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
     before = c.filter("turn < last").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
     other = last.join(reply, "conv_id").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("text"))
     return chosen.unionByName(before).unionByName(other)
 
 
+def lone_turns(conversations: DataFrame) -> DataFrame:
+    """Turns without a conv_id, each as a pair of its own with a chosen side only: nothing says which belong together."""
+    turn = F.array(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    none = F.slice(turn, 1, 0)
+    rows = conversations.filter("conv_id is null").select(F.col("conv_id").alias("pair_id"), turn.alias("c"), none.alias("p"))
+    return rows.select(
+        "pair_id", F.lit(0).alias("prompt_turns"), render(F.col("p")).alias("prompt"),
+        render(F.col("c")).alias("chosen"), mask(F.col("c")).alias("chosen_mask"), render(F.col("p")).alias("rejected"), mask(F.col("p")).alias("rejected_mask"),
+    )
+
+
 def formatted_conversations(conversations: DataFrame) -> DataFrame:
-    out = format_pairs(pairs_of(conversations))
+    out = format_pairs(pairs_of(conversations)).unionByName(lone_turns(conversations))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ";")
     return out.select(F.col("pair_id").alias("conv_id"), F.col("prompt_turns").cast("long"), "prompt", "chosen", "rejected", spans(F.col("chosen_mask")).alias("chosen_mask"), spans(F.col("rejected_mask")).alias("rejected_mask"))

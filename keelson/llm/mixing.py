@@ -52,7 +52,8 @@ def plan(sizes: DataFrame) -> DataFrame:
     A document is taken ``whole`` times, and once more if its order is at most ``last``: the seeded order
     is followed until the fractional part of target / source_size is reached, to the nearest document.
     Only the bucket of the order in which that happens is sorted by row; buckets are summed first, so no
-    task gets the rows of a whole source. Documents of equal order (repeated rows) go together."""
+    task gets the rows of a whole source. Documents of equal order (repeated rows) go together. A source without a
+    fractional part has no such bucket, so nothing is taken more than ``EPOCHS`` times, empty texts included."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = targets(per)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -62,7 +63,7 @@ def plan(sizes: DataFrame) -> DataFrame:
     sums = sizes.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("n"))
     run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    edge = sums.join(per.select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).filter((F.col("before") <= F.col("part")) & (F.col("before") + F.col("n") > F.col("part"))).drop("s")
+    edge = sums.join(per.select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).filter((F.col("part") > 0) & (F.col("before") <= F.col("part")) & (F.col("before") + F.col("n") > F.col("part"))).drop("s")
     edge = written(edge.select("source", "b", "before", "part"), "mix-edges")
     rows = sizes.withColumn("b", bucket).groupBy("source", "b", "__order").agg(F.sum("size").alias("size"))
     e = edge.select(F.col("source").alias("s"), F.col("b").alias("eb"), "before", "part")

@@ -110,7 +110,8 @@ def test_conversations_become_pairs(spark):
     for r in conversations.collect():
         by[r.conv_id].add((r.turn, r.role, r.text))
     last = {k: max((t[0], t[2] or "") for t in v if t[1] == "assistant") for k, v in by.items() if any(t[1] == "assistant" for t in v)}
-    want = {}
+    want = {k: paired(v, []) for k, v in by.items() if k not in last}
+    assert want
     for k, (turn, _) in last.items():
         other = [(turn, "assistant", last[k ^ 1][1])] if k ^ 1 in last else []
         want[k] = paired(by[k], [t for t in by[k] if t[0] < turn] + other)
@@ -118,6 +119,13 @@ def test_conversations_become_pairs(spark):
     text = lambda s: ";".join(f"{a}:{b}" for a, b in s)
     assert {r.conv_id: (r.prompt_turns, r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) for r in out} == {k: (n, p, c, text(m), r, text(q)) for k, (n, p, c, m, r, q) in want.items()}
     assert len(out) == len(want)
+    assert preference.formatted_conversations(conversations.limit(0)).collect() == []
+
+def test_turns_without_a_conversation(spark):
+    rows = [(None, 0, "user", "hi", "x"), (None, 1, "assistant", None, "x"), (None, 0, "user", "hi", "x"), (8, 0, "user", "alone", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id string")
+    out = [(r.conv_id, r.prompt_turns, r.prompt, r.chosen, r.chosen_mask, r.rejected, r.rejected_mask) for r in preference.formatted_conversations(df).collect()]
+    assert Counter(out) == Counter([(None, 0, "", "<|user|>\nhi<|end|>\n", "", "", "")] * 2 + [(None, 0, "", "<|assistant|>\n<|end|>\n", "14:22", "", ""), (8, 0, "", "<|user|>\nalone<|end|>\n", "", "", "")])
 
 def test_odd_pairs(spark):
     rows = [

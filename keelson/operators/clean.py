@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.fixture import PLAIN
+
 C = F.col
-RENAMED = {"customerID": "customer_id", "tenure": "tenure_months", "MonthlyCharges": "monthly_charges", "TotalCharges": "total_charges", "Churn": "churn"}
+RENAMED = {"customerID": "customer_id", "tenure": "tenure_months", "MonthlyCharges": "monthly_charges", "TotalCharges": "total_charges", "Churn": "churn", **PLAIN}
 
 
 def renamed(df: DataFrame) -> DataFrame:
@@ -43,16 +45,6 @@ def cleaned(raw: DataFrame) -> DataFrame:
     return labelled(imputed(first_of_each(trimmed(renamed(raw)), "customer_id", "row_no")))
 
 
-def raw_failures(raw: DataFrame) -> DataFrame:
-    """(row_no, column, check, value) of all rules that a raw row breaks, found in one pass."""
-    checks = (
-        ("gender", "domain", ~C("gender").isin("Female", "Male")), ("Churn", "domain", ~C("Churn").isin("Yes", "No")), ("TotalCharges", "numeric", C("TotalCharges").try_cast("double").isNull()),
-        ("tenure", "range", C("tenure") < 0), ("MonthlyCharges", "range", C("MonthlyCharges") < 0), ("customerID", "trimmed", F.trim("customerID") != C("customerID")),
-    )
-    found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(c).alias("column"), F.lit(k).alias("check"), C(c).cast("string").alias("value"))) for c, k, bad in checks)))
-    return raw.select("row_no", F.inline(found))
-
-
 def numbered(df: DataFrame, order: str, out: str, width: int = 65_536) -> DataFrame:
     """Adds the place (from 0) of each row by an integer column without repeated values.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as f
+from ..functions import rules
 
 C = F.col
 
@@ -26,6 +27,19 @@ def scored(sub: DataFrame) -> DataFrame:
     return rows.withColumns({"primary_recommendation": C("first.recommendation"), "recommendation_priority": C("first.priority"), "estimated_revenue_saved": C("first.saved")}).drop("first", "max_ltv")
 
 
+def bundle(rows: DataFrame) -> DataFrame:
+    """Score, values, segment, persona and first recommendation of rows that come in, each from its own columns.
+
+    Absent columns have their defaults, as have null ones."""
+    for c, v in rules.COLUMN_DEFAULTS.items():
+        rows = rows.withColumn(c, F.coalesce(C(c), F.lit(v)) if c in rows.columns else F.lit(v))
+    rows = engineered(rows.withColumn("churn_probability", f.linear_probability()))
+    p = C("churn_probability")
+    rows = rows.withColumns({"predicted_ltv": f.ltv_total(), "projected_future_ltv": f.ltv_projected(p), "customer_segment": f.segment(), "risk_level": f.tier3(p), **f.rfm_fixed(p, C("tenure_months"), C("total_charges"))})
+    rows = rows.withColumns({"rfm_persona": f.persona(C("r_score"), C("f_score"), C("m_score")), "first": F.element_at(f.recommendations(p, C("predicted_ltv")), 1)})
+    return rows.withColumns({"primary_recommendation": C("first.recommendation"), "recommendation_priority": C("first.priority")}).drop("first")
+
+
 def money(c, digits: int = 6):
     """A sum that doesn't depend on the order of rows."""
     return F.sum(F.col(c).cast(f"decimal(18,{digits})") if isinstance(c, str) else c.cast(f"decimal(18,{digits})")).cast("double")

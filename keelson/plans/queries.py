@@ -93,7 +93,6 @@ LOADED = lambda t: t.sub.filter("k % 3 = 0").select("customer_id")
 many(
     ("join_star", star, STAR),
     ("src_star", lambda t: star(t).filter("churn = 1"), STAR + " WHERE churn = 1"),
-    ("src_dbsync", lambda t: t.customers.join(t.contracts.withColumnRenamed("id", "contract_id"), "contract_id", "left").join(t.billings.withColumnRenamed("id", "billing_id"), "billing_id", "left").select("customer_id", "contract_type", "monthly_charges", f.ltv_total().alias("predicted_ltv")), f"SELECT customer_id, contract_type, monthly_charges, {R('monthly_charges * GREATEST(1, tenure_months)', 2)} AS predicted_ltv FROM sub"),
     ("src_ids", lambda t: t.raw.select(F.trim("customerID").alias("customer_id")).dropna().distinct(), 'SELECT DISTINCT trim("customerID") AS customer_id FROM raw WHERE "customerID" IS NOT NULL'),
     ("join_anti", lambda t: t.sub.join(LOADED(t), "customer_id", "left_anti").select("customer_id", "tenure_months"), "SELECT customer_id, tenure_months FROM sub WHERE k % 3 <> 0"),
     ("set_except", lambda t: t.sub.select("customer_id").subtract(LOADED(t)), "SELECT customer_id FROM sub EXCEPT SELECT customer_id FROM sub WHERE k % 3 = 0"),
@@ -135,22 +134,13 @@ many(
     ("clean_trim", lambda t: clean.trimmed(t.raw).select("row_no", "customerID"), 'SELECT row_no, trim("customerID") AS "customerID" FROM raw'),
     ("clean_dedupe", lambda t: clean.first_of_each(clean.trimmed(clean.renamed(t.raw)), "customer_id", "row_no").select("customer_id", "row_no"), CL + "customer_id, row_no FROM u"),
     ("win_first", lambda t: clean.first_of_each(t.events, "user_id", "event_id").select("user_id", "event_id"), "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1"),
-    ("sink_upsert", lambda t: t.raw.withColumn("id", F.trim("customerID")).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("row_no")))).filter("n = 1").select("id", "row_no", "tenure"), 'SELECT trim("customerID") AS id, row_no, tenure FROM raw QUALIFY row_number() OVER (PARTITION BY trim("customerID") ORDER BY row_no DESC) = 1'),
     ("clean_numeric", lambda t: t.raw.select("row_no", clean.number("TotalCharges").alias("total_charges")), 'SELECT row_no, TRY_CAST(trim("TotalCharges") AS DOUBLE) AS total_charges FROM raw'),
     ("clean_numeric0", lambda t: t.raw.select("row_no", F.coalesce(clean.number("TotalCharges"), F.lit(0.0)).alias("total_charges")), 'SELECT row_no, coalesce(TRY_CAST(trim("TotalCharges") AS DOUBLE), 0.0) AS total_charges FROM raw'),
     ("clean_impute", lambda t: clean.cleaned(t.raw).filter("imputed = 1").select("customer_id", "total_charges"), CL + "customer_id, total_charges FROM cl WHERE imputed = 1"),
     ("clean_label", lambda t: clean.labelled(clean.renamed(t.raw)).select("row_no", "churn"), """SELECT row_no, CASE "Churn" WHEN 'Yes' THEN 1 ELSE 0 END AS churn FROM raw WHERE "Churn" IN ('Yes', 'No')"""),
     ("clean_cast", lambda t: clean.cleaned(t.raw).select("customer_id", C("tenure_months").cast("int"), C("churn").cast("int")), CL + "customer_id, CAST(tenure_months AS INT) AS tenure_months, CAST(churn AS INT) AS churn FROM cl"),
     ("clean_summary", lambda t: t.raw.agg(F.count("*").alias("initial"), F.count_distinct(F.trim("customerID")).alias("ids")).join(clean.cleaned(t.raw).agg(F.count("*").alias("final"), F.sum("imputed").alias("imputed")), how="cross"), f'WITH {CLEANED} SELECT (SELECT count(*) FROM raw) AS initial, (SELECT count(*) FROM u) AS ids, (SELECT count(*) FROM cl) AS final, (SELECT CAST(sum(imputed) AS BIGINT) FROM cl) AS imputed'),
-    ("etl_pipeline", lambda t: clean.cleaned(t.raw).select(*COLS).join(LOADED(t), "customer_id", "left_anti"), CL + f"{', '.join(COLS)} FROM cl WHERE customer_id NOT IN (SELECT customer_id FROM sub WHERE k % 3 = 0)"),
     ("id_valid", lambda t: t.raw.filter(~F.lower(F.trim("customerID")).isin("", "nan", "none", "null")).select("row_no"), "SELECT row_no FROM raw WHERE lower(trim(\"customerID\")) NOT IN ('', 'nan', 'none', 'null')"),
-    ("dq_raw", lambda t: clean.raw_failures(t.raw).select("row_no", "column", "check"), """SELECT row_no, 'gender' AS "column", 'domain' AS "check" FROM raw WHERE gender NOT IN ('Female', 'Male') UNION ALL SELECT row_no, 'Churn', 'domain' FROM raw WHERE "Churn" NOT IN ('Yes', 'No') UNION ALL SELECT row_no, 'TotalCharges', 'numeric' FROM raw WHERE TRY_CAST(trim("TotalCharges") AS DOUBLE) IS NULL UNION ALL SELECT row_no, 'customerID', 'trimmed' FROM raw WHERE trim("customerID") <> "customerID" """),
-    ("dq_report", lambda t: count(clean.raw_failures(t.raw), "column", "check"), """SELECT 'gender' AS "column", 'domain' AS "check", count(*) AS n FROM raw WHERE gender NOT IN ('Female', 'Male') UNION ALL SELECT 'Churn', 'domain', count(*) FROM raw WHERE "Churn" NOT IN ('Yes', 'No') UNION ALL SELECT 'TotalCharges', 'numeric', count(*) FROM raw WHERE TRY_CAST(trim("TotalCharges") AS DOUBLE) IS NULL UNION ALL SELECT 'customerID', 'trimmed', count(*) FROM raw WHERE trim("customerID") <> "customerID" """),
-    ("dq_clean", lambda t: clean.trimmed(t.raw).groupBy("customerID").agg(F.count("*").alias("n")).filter("n > 1"), 'SELECT trim("customerID") AS "customerID", count(*) AS n FROM raw GROUP BY 1 HAVING count(*) > 1'),
-    ("sink_split", lambda t: t.sub.select(F.md5("customer_id").alias("billing_id"), "monthly_charges", "total_charges"), "SELECT md5(customer_id) AS billing_id, monthly_charges, total_charges FROM sub"),
-    ("sink_idem", lambda t: t.sub.join(LOADED(t).withColumn("old", F.lit(1)), "customer_id", "left").agg(F.count("*").alias("processed"), F.count_if(C("old").isNull()).alias("inserted"), F.count("old").alias("skipped")), "SELECT count(*) AS processed, count_if(k % 3 <> 0) AS inserted, count_if(k % 3 = 0) AS skipped FROM sub"),
-    ("sink_predupd", lambda t: t.sub.join(t.gold.filter("k % 3 = 0").select("k", "predicted_ltv"), "k", "left").select("customer_id", F.coalesce("predicted_ltv", F.lit(0.0)).alias("predicted_ltv")), "SELECT customer_id, CASE WHEN k % 3 = 0 THEN predicted_ltv ELSE 0.0 END AS predicted_ltv FROM gold"),
-    ("sink_quar", lambda t: t.raw.select("row_no", F.when(~C("Churn").isin("Yes", "No"), "bad label").when(C("gender") == "Unknown", "bad gender").alias("reason")).filter("reason is not null"), """SELECT row_no, CASE WHEN "Churn" NOT IN ('Yes', 'No') THEN 'bad label' ELSE 'bad gender' END AS reason FROM raw WHERE "Churn" NOT IN ('Yes', 'No') OR gender = 'Unknown'"""),
 )
 
 # SQL reports
@@ -201,7 +191,6 @@ many(
     ("agg_audit", lambda t: count(t.events.withColumn("event_type", F.coalesce("event_type", F.lit("UNKNOWN"))), "event_type"), "SELECT coalesce(event_type, 'UNKNOWN') AS event_type, count(*) AS n FROM events GROUP BY 1"),
     ("agg_metrics", lambda t: evaluate.latency(t.events, ["event_type"]), f"SELECT event_type, count(value) AS n, {R(A('value', 4), 4)} AS avg_value, max(v) FILTER (r = greatest(1, n * 50 // 100)) AS p50, max(v) FILTER (r = greatest(1, n * 95 // 100)) AS p95, max(v) FILTER (r = greatest(1, n * 99 // 100)) AS p99 FROM (SELECT event_type, value, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1"),
     ("agg_metricsday", lambda t: t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("requests"), F.count_if(C("event_type") == "error").alias("errors")), f"SELECT {DAY} AS day, count(*) AS requests, count_if(event_type = 'error') AS errors FROM events GROUP BY 1"),
-    ("st_state", lambda t: t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("latest")), f"SELECT {DAY} AS day, event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1, 2"),
     ("st_retain", lambda t: t.events.filter(C("ts") >= t.events.agg((F.max("ts") - F.expr("interval 30 days")).alias("cut")).scalar()).select("event_id"), "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 30 DAY FROM events)"),
     ("agg_predlog", lambda t: t.events.join(t.gold, C("user_id") == C("k")).groupBy(f.tier3(P()).alias("level")).agg(F.count("*").alias("n"), mean("churn_probability").alias("avg_p"), mean("predicted_ltv", 2).alias("avg_ltv")), f"SELECT {T3} AS level, count(*) AS n, {A('churn_probability')} AS avg_p, {A('predicted_ltv', 2)} AS avg_ltv FROM events JOIN gold ON user_id = k GROUP BY 1"),
     ("top_recent", lambda t: t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "ts"), "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"),

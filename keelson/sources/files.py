@@ -4,18 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-RAW_SCHEMA = "customerID string, gender string, tenure int, MonthlyCharges double, TotalCharges string, Churn string"
+#: The columns that scoring and cleaning need, in the order of a stream's files.
+CORE_SCHEMA = "customerID string, gender string, tenure int, MonthlyCharges double, TotalCharges string, Churn string"
+#: All 21 columns of a raw file.
+RAW_SCHEMA = (
+    "customerID string, gender string, SeniorCitizen int, Partner string, Dependents string, tenure int, PhoneService string, MultipleLines string, InternetService string, OnlineSecurity string, OnlineBackup string, "
+    "DeviceProtection string, TechSupport string, StreamingTV string, StreamingMovies string, Contract string, PaperlessBilling string, PaymentMethod string, MonthlyCharges double, TotalCharges string, Churn string"
+)
+
+
+def _named(rows: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema, found by name among columns of text; absent ones and what doesn't fit is null."""
+    fields = StructType.fromDDL(schema).fields
+    return rows.select(*((F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> DataFrame:
-    """Rows of CSV files with a header; fields that don't fit their type become null."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """Rows of CSV files with a header, which says where each column is; fields that don't fit their type become null."""
+    return _named(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path), schema)
 
 
 def read_folder(spark: SparkSession, folder: str, schema: str = RAW_SCHEMA, pattern: str = "*.csv") -> DataFrame:
-    """All files of a folder that match, with the file each row is from."""
-    return spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern).csv(folder).withColumn("file", F.col("_metadata.file_path"))
+    """All files of a folder that match, with one header, and the file each row is from."""
+    rows = spark.read.option("header", True).option("pathGlobFilter", pattern).csv(folder).withColumn("file", F.col("_metadata.file_path"))
+    return _named(rows, schema + ", file string")
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None, schema: str = RAW_SCHEMA) -> DataFrame:

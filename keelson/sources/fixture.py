@@ -43,13 +43,20 @@ c AS (
 SELECT c.*, CASE WHEN ((k*7919)%1000)/CAST(1000 AS DOUBLE)<churn_probability THEN 1 ELSE 0 END AS churn FROM c
 """
 
-RAW = """
+#: Raw columns that are plain renames of clean ones.
+PLAIN = {
+    "SeniorCitizen": "senior_citizen", "Partner": "partner", "Dependents": "dependents", "PhoneService": "phone_service", "MultipleLines": "multiple_lines", "InternetService": "internet_service",
+    "OnlineSecurity": "online_security", "OnlineBackup": "online_backup", "DeviceProtection": "device_protection", "TechSupport": "tech_support", "StreamingTV": "streaming_tv",
+    "StreamingMovies": "streaming_movies", "Contract": "contract_type", "PaperlessBilling": "paperless_billing", "PaymentMethod": "payment_method",
+}
+_plain = ", ".join(f'{clean} AS "{raw}"' for raw, clean in PLAIN.items())
+RAW = f"""
 SELECT k*2 AS row_no, CASE WHEN k%9=0 THEN CONCAT('  ',customer_id,' ') ELSE customer_id END AS "customerID",
   CASE WHEN k%61=0 THEN 'Unknown' ELSE gender END AS gender, tenure_months AS tenure, monthly_charges AS "MonthlyCharges",
   CASE WHEN tenure_months=0 OR k%40=0 THEN ' ' ELSE CONCAT(' ',CAST(total_charges AS VARCHAR(32))) END AS "TotalCharges",
-  CASE WHEN k%97=0 THEN 'Maybe' WHEN churn=1 THEN 'Yes' ELSE 'No' END AS "Churn" FROM sub
+  CASE WHEN k%97=0 THEN 'Maybe' WHEN churn=1 THEN 'Yes' ELSE 'No' END AS "Churn", {_plain} FROM sub
 UNION ALL
-SELECT k*2+1, customer_id, gender, tenure_months+1, monthly_charges, CAST(total_charges AS VARCHAR(32)), 'No' FROM sub WHERE k%50=0
+SELECT k*2+1, customer_id, gender, tenure_months+1, monthly_charges, CAST(total_charges AS VARCHAR(32)), 'No', {", ".join(PLAIN.values())} FROM sub WHERE k%50=0
 """
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import columns as f
-from ..operators import clean, sinks
-from ..sources.files import RAW_SCHEMA
+from ..operators import clean, sinks, store
+from ..sources.files import CORE_SCHEMA
 
 C = F.col
 VALID = "trim(customerID) <> '' and gender in ('Female', 'Male') and Churn in ('Yes', 'No') and tenure >= 0 and MonthlyCharges >= 0"
@@ -33,7 +33,7 @@ def store_batch(rows: DataFrame, batch: int, table: str, log: str) -> None:
     sinks.put_version(import_log(rows), log, batch)
 
 
-def watch(spark: SparkSession, folder: str, table: str, log: str, checkpoint: str, every: str | None = None, schema: str = RAW_SCHEMA) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, table: str, log: str, checkpoint: str, every: str | None = None, schema: str = CORE_SCHEMA) -> StreamingQuery:
     """Take in new CSV files of a folder: what is there now, or for good at each ``every`` (such as ``1 minute``).
 
     The checkpoint knows which files were read, so files need not be moved."""
@@ -62,3 +62,41 @@ def rescore(spark: SparkSession, folder: str, schema: str, table: str, checkpoin
 
     out = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def upserts(rows: DataFrame, to: store.Store, name: str, key: str, checkpoint: str, order: str | None = None, share: float = store.FOLD) -> StreamingQuery:
+    """Keep the last row of each key of a stream in a table of a store: what is there now, then it ends.
+
+    A batch is one commit whose name has the stream's batch number, so a batch that runs again after a restart changes
+    nothing. After each batch the buckets with many old versions are folded."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.upsert(to, name, batch, key, f"{name}-stream-{number}", order)
+        store.fold(to, name, key, share)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+COUNTS = "day date, outcome string, files long, records long, valid long, latest timestamp"
+
+
+def running_state(log: DataFrame, to: store.Store, name: str, checkpoint: str) -> StreamingQuery:
+    """Counters by day and outcome over a stream of import records (file, at, n_rows, n_valid, outcome).
+
+    The state is Spark's own: a streaming aggregate in update mode hands on the counters that have changed, with
+    what came before, and they replace those in the store. So a replayed batch writes the same counters."""
+    counts = log.groupBy(F.to_date("at").alias("day"), "outcome").agg(F.count("*").alias("files"), F.sum("n_rows").alias("records"), F.sum("n_valid").alias("valid"), F.max("at").alias("latest"))
+    keyed = counts.withColumn("key", F.concat_ws("/", F.col("day").cast("string"), "outcome"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.upsert(to, name, batch, "key", f"{name}-stream-{number}", order="files")
+        store.fold(to, name, "key")
+
+    return keyed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_state(to: store.Store, name: str) -> DataFrame:
+    """(day, files_ok, files_failed, records, valid, last_sync) of the counters in the store."""
+    rows = store.state(to, name, "key").groupBy("day")
+    of = lambda outcome: F.coalesce(F.sum(F.when(C("outcome") == outcome, C("files"))), F.lit(0))
+    return rows.agg(of("processed").alias("files_ok"), of("failed").alias("files_failed"), F.sum("records").alias("records"), F.sum("valid").alias("valid"), F.max("latest").alias("last_sync"))

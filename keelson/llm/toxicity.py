@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -12,6 +16,8 @@ from .common import ship
 WINDOW, STRIDE = 32, 24
 #: Bound on labelled rows that the network is fitted on: toxic ones and others.
 FIT_TOXIC, FIT_OTHER = 1500, 2000
+#: Bound on the bytes of their texts.
+FIT_BYTES = 64 << 20
 THRESHOLD = 0.3
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 17, 16, 6, 6
 EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 11
@@ -19,7 +25,7 @@ EPOCHS, BATCH, RATE, SEED = 10, 64, 0.01, 11
 STEPS = 400
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¿¡«»“”„…"
 #: Bytes of text that are scored at once.
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 
 
 def tokens(texts):
@@ -288,44 +294,53 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def trained(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, other: int = FIT_OTHER) -> dict | None:
-    """The network fitted on at most so many toxic and other labelled rows, chosen by a hash of the id.
+def trained(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, other: int = FIT_OTHER, most_bytes: int = FIT_BYTES) -> dict | None:
+    """The network fitted on at most so many toxic and other labelled rows and bytes, chosen by a hash of the id.
 
     Rows that are held out, and labels that are null, are never looked at. A repeated label counts as toxic
-    if one of its rows does; a repeated id brings one text."""
+    if one of its rows does; a repeated id brings one text. Whole texts are taken, in the order of the hash, as long as
+    their sum stays within the bytes. The fit runs in one task on the bounded rows; the driver gets the weights."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")
     chosen = rows.filter("toxic = 1").orderBy(*order).limit(toxic).union(rows.filter("toxic = 0").orderBy(*order).limit(other))
     # at most FIT_TOXIC + FIT_OTHER rows of two numbers: small enough to broadcast at any size of the corpus
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return fit([r["text"] or "" for r in found], [r["toxic"] for r in found])
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("size", size).filter(F.col("size") <= most_bytes).select("doc_id", "text", "toxic")
+
+    def fitted(batches):
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        model = fit([r[1] for r in rows], [r[2] for r in rows])
+        if model is not None:
+            np.savez(out := io.BytesIO(), **model)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
+
+    weights = found.mapInArrow(fitted, "weights binary").first()
+    return dict(np.load(io.BytesIO(weights[0]))) if weights else None
 
 
 def scores(docs: DataFrame, model: dict | None, column: str = "score") -> DataFrame:
     """``docs`` with the toxicity of each whole text: the highest probability among its windows.
 
-    A text without words (null, empty) has one window of an empty word; without a model every score is 0."""
+    A text without words (null, empty) has one window of an empty word; without a model every score is 0. Only
+    texts go to the workers, and scores come back."""
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
-    docs = docs.drop(column)
-    place = docs.columns.index("text")
 
-    def scored(batches):
-        import pyarrow as pa
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.compute as pc
 
         for batch in batches:
-            texts = batch.column(place).cast(pa.string()).fill_null("")
+            texts = batch.cast(pa.string()).fill_null("")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             out, a = [np.empty(0)], 0
             while a < len(texts):
                 b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + AT_ONCE, side="right")))
                 out.append(score(model, texts.slice(a, b - a)))
                 a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, column])
+            yield pa.array(np.concatenate(out))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored, f"{fields}, `{column}` double")
+    return docs.withColumn(column, F.arrow_udf(scored, "double")("text"))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def classification(df: DataFrame, predicted: Column, label: Column) -> DataFrame
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by average ranks."""
-    r = average_ranks(df.withColumn("__s", C(score) * 1e6), "__s", "r")
+    r = average_ranks(df, score, "r")
     pos, neg = F.count_if(C(label) == 1).cast("double"), F.count_if(C(label) == 0).cast("double")
     return r.agg(rnd((F.sum(F.when(C(label) == 1, C("r"))) - pos * (pos + 1) / 2.0) / (pos * neg), 6).alias("auc"))
 
@@ -38,7 +38,7 @@ def sweep(df: DataFrame, p: Column, label: Column) -> DataFrame:
 
 def latency(events: DataFrame, keys: list[str]) -> DataFrame:
     """n, avg_value and the p50, p95, p99 of floor nearest rank for each key, over all records."""
-    rows = running(events, keys, "value", 8.0)
+    rows = running(events, keys, "value")
     at = lambda p: F.max(F.when((C("before") < C("r")[p]) & (C("r")[p] <= C("before") + C("n")), C("v")))
     rows = rows.withColumn("r", F.array(*(F.greatest(F.lit(1), F.floor(C("total") * p / F.lit(100))) for p in (50, 95, 99))))
     picked = rows.groupBy(*keys).agg(at(0).alias("p50"), at(1).alias("p95"), at(2).alias("p99"))
@@ -48,7 +48,7 @@ def latency(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def picked_latency(events: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
     """n, mean, median, p95, p99, least and most for each key; a percentile is the value at place floor(n * q), from 0."""
-    rows = running(events, keys, column, 8.0)
+    rows = running(events, keys, column)
     at = lambda r: F.max(F.when((C("before") <= r) & (r < C("before") + C("n")), C("v")))
     place = lambda q: F.floor(C("total") * F.lit(q))
     middle = (at(F.floor((C("total") - 1) / 2)) + at(F.floor(C("total") / 2))) / 2

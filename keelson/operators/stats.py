@@ -30,11 +30,11 @@ def top_values(df: DataFrame, columns, k: int) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "v"))).filter(C("r") <= k)
 
 
-def quintiles(df: DataFrame, column: str, out: str = "q", width: float = 64.0) -> DataFrame:
+def quintiles(df: DataFrame, column: str, out: str = "q") -> DataFrame:
     """Adds the quintile (1 to 5, right-closed) of a column by exact quantiles.
 
     If edges collapse, bins of equal width take their place; the lowest edge is widened by a thousandth."""
-    edges = quantiles(df, [], column, {f"e{i}": i / 5 for i in range(6)}, width)
+    edges = quantiles(df, [], column, {f"e{i}": i / 5 for i in range(6)})
     e = edges.select(F.array(*(C(f"e{i}") for i in range(6))).alias("e"))
     e = e.select(F.when(F.size(F.array_distinct("e")) == 6, F.slice("e", 2, 4)).otherwise(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: C("e")[0] + (C("e")[5] - C("e")[0]) / 5 * i)).alias("e"))
     inner = e.scalar()

@@ -38,6 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/keelson/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again: what is used several times is computed once."""
+    rows.write.parquet(path := scratch(rows.sparkSession, name))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Store:
     """A store at ``uri``; ``create`` makes one with tables of given schemas (DDL) and no rows."""
 

@@ -91,7 +91,7 @@ many(
     ("win_segrank", lambda t: models.segment_ranks(t.sub.withColumn("cluster", (C("k") % 6).cast("int"))), f"WITH m AS (SELECT CAST(k % 6 AS INT) AS cluster, quantile_cont(total_charges, 0.5) AS median FROM sub GROUP BY 1), r AS (SELECT cluster, row_number() OVER (ORDER BY median DESC, cluster) AS i FROM m) SELECT cluster, CASE i {' '.join(f'WHEN {i + 1} THEN {_text(s)}' for i, s in enumerate(models.SEGMENTS))} ELSE concat('Budget Subscribers Class ', i - 3) END AS segment FROM r"),
     ("join_left", lambda t: stats.mutual_information(t.sub, (*CAT, "tenure_months"), "churn").select("name", f.rnd(C("mi"), 6).alias("mi")).join(stats.chi2(t.sub, CAT, "churn").select("name", f.rnd(C("chi2"), 6).alias("chi2"), "dof"), "name", "left"), f"WITH {_mi} SELECT name, mi, floor(chi2 * 1000000.0 + 0.5) / 1000000.0 AS chi2, dof FROM mi LEFT JOIN chi USING (name)"),
     ("rec_message", lambda t: decide.outreach(t.sub, TONE), _message_sql()),
-    ("st_drift", lambda t: _days(t, "value").select("day", "feature", f.rnd(C("psi"), 6).alias("psi"), "n_now", drift.severity(C("psi")).alias("severity")), _days_sql("value", "value") + f"SELECT day, feature, {_psi} AS psi, n_now, CASE WHEN psi >= 0.25 THEN 'Critical' WHEN psi >= 0.10 THEN 'Warning' ELSE 'Stable' END AS severity FROM trend"),
+    ("st_drift", lambda t: _days(t, "value").select("day", "feature", f.rnd(C("psi"), 6).alias("psi"), "n_now", drift.severity(C("psi")).alias("severity")), _days_sql("value", "value") + f"SELECT day, feature, {_psi} AS psi, n_now, CASE WHEN psi >= 0.25 THEN 'Critical' WHEN psi >= 0.10 THEN 'Warning' ELSE 'Normal' END AS severity FROM trend"),
     ("drift_trend", lambda t: _days(t, "k").select("day", "feature", f.rnd(C("psi"), 6).alias("psi")), _days_sql("k", "json_extract_string(props, '$.k')") + f"SELECT day, feature, {_psi} AS psi FROM trend"),
     ("ml_prep", lambda t: models.feature_arrays(t.sub), None),
     ("ml_classify", lambda t: models.classified(t.sub), None),

@@ -224,7 +224,7 @@ many(
     ("var_risk", lambda t: t.gold.select("customer_id", f.rnd(RISK(), 2).alias("at_risk"), f.rnd(P() * 12.0 * C("monthly_charges"), 2).alias("annual")), f"SELECT customer_id, {R('churn_probability * predicted_ltv', 2)} AS at_risk, {R('churn_probability * 12.0::DOUBLE * monthly_charges', 2)} AS annual FROM gold"),
     ("rfm_fixed", lambda t: t.gold.select("customer_id", "r_score", "f_score", "m_score", "rfm_persona"), "SELECT customer_id, r_score, f_score, m_score, rfm_persona FROM gold"),
     ("win_quintile", lambda t: stats.quintiles(t.sub, "total_charges").select("customer_id", "q"), "WITH e AS (SELECT quantile_cont(total_charges, [0.2, 0.4, 0.6, 0.8]) AS e FROM sub) SELECT customer_id, CAST(1 + len(list_filter(e, lambda x: total_charges > x)) AS INT) AS q FROM sub, e"),
-    ("rfm_quant", lambda t: stats.quintiles(stats.quintiles(stats.quintiles(t.sub.withColumn("stay", 1.0 - P()), "stay", "r", 0.01), "tenure_months", "fr"), "total_charges", "m").select("customer_id", (C("r") * 100 + C("fr") * 10 + C("m")).alias("code"), f.persona(C("r"), C("fr"), C("m")).alias("persona")), "WITH e AS (SELECT quantile_cont(1 - churn_probability, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(tenure_months, [0.2, 0.4, 0.6, 0.8]) AS b, quantile_cont(total_charges, [0.2, 0.4, 0.6, 0.8]) AS c FROM sub), q AS (SELECT customer_id, 1 + len(list_filter(a, lambda x: 1 - churn_probability > x)) AS r, 1 + len(list_filter(b, lambda x: tenure_months > x)) AS f, 1 + len(list_filter(c, lambda x: total_charges > x)) AS m FROM sub, e) SELECT customer_id, CAST(r * 100 + f * 10 + m AS INT) AS code, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'VIP Subscribers' WHEN r >= 3 AND f >= 3 AND m >= 4 THEN 'Loyal Subscribers' WHEN r >= 3 AND f >= 3 THEN 'High-Potential Subscribers' WHEN r <= 2 AND f >= 3 THEN 'At-Risk Subscribers' WHEN r <= 2 AND f <= 2 THEN 'Churned Subscribers' ELSE 'Dormant Subscribers' END AS persona FROM q"),
+    ("rfm_quant", lambda t: stats.quintiles(stats.quintiles(stats.quintiles(t.sub.withColumn("stay", 1.0 - P()), "stay", "r"), "tenure_months", "fr"), "total_charges", "m").select("customer_id", (C("r") * 100 + C("fr") * 10 + C("m")).alias("code"), f.persona(C("r"), C("fr"), C("m")).alias("persona")), "WITH e AS (SELECT quantile_cont(1 - churn_probability, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(tenure_months, [0.2, 0.4, 0.6, 0.8]) AS b, quantile_cont(total_charges, [0.2, 0.4, 0.6, 0.8]) AS c FROM sub), q AS (SELECT customer_id, 1 + len(list_filter(a, lambda x: 1 - churn_probability > x)) AS r, 1 + len(list_filter(b, lambda x: tenure_months > x)) AS f, 1 + len(list_filter(c, lambda x: total_charges > x)) AS m FROM sub, e) SELECT customer_id, CAST(r * 100 + f * 10 + m AS INT) AS code, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'VIP Subscribers' WHEN r >= 3 AND f >= 3 AND m >= 4 THEN 'Loyal Subscribers' WHEN r >= 3 AND f >= 3 THEN 'High-Potential Subscribers' WHEN r <= 2 AND f >= 3 THEN 'At-Risk Subscribers' WHEN r <= 2 AND f <= 2 THEN 'Churned Subscribers' ELSE 'Dormant Subscribers' END AS persona FROM q"),
     ("rec_rules", lambda t: t.gold.select("customer_id", F.posexplode(f.recommendations(P(), C("predicted_ltv"))).alias("place", "x")).select("customer_id", "place", "x.rule", "x.recommendation", "x.priority", "x.saved"), "SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY rank, rule) - 1 AS INT) AS place, rule, recommendation, priority, saved FROM recs"),
     ("win_toprec", lambda t: t.gold.select("customer_id", "primary_recommendation", "recommendation_priority", "estimated_revenue_saved"), "SELECT customer_id, recommendation AS primary_recommendation, priority AS recommendation_priority, saved AS estimated_revenue_saved FROM recs QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY rank, rule) = 1"),
     ("rec_driver", lambda t: t.sub.filter(P() >= 0.4).select("customer_id", f.chain(((C("contract_type") == "Month-to-month", "Month-to-month contract structure"), (C("tenure_months") <= 6, "Short subscriber tenure")), "High monthly fee sensitivity").alias("driver")), "SELECT customer_id, CASE WHEN contract_type = 'Month-to-month' THEN 'Month-to-month contract structure' WHEN tenure_months <= 6 THEN 'Short subscriber tenure' ELSE 'High monthly fee sensitivity' END AS driver FROM sub WHERE churn_probability >= 0.4"),
@@ -243,33 +243,20 @@ NUM = ("tenure_months", "monthly_charges", "total_charges")
 CAT = ("gender", "contract_type", "internet_service", "payment_method")
 long_sql = lambda cols, kind: " UNION ALL ".join(f"SELECT k, '{c}' AS name, CAST({c} AS {kind}) AS v, churn FROM sub" for c in cols)
 many(
-    ("prof_shape", lambda t: t.sub.agg(F.count("*").alias("n_rows"), *(F.count_if(C(c).isNull()).alias(f"missing_{c}") for c in NUM)), "SELECT count(*) AS n_rows, " + ", ".join(f"count_if({c} IS NULL) AS missing_{c}" for c in NUM) + " FROM sub"),
-    ("prof_numeric", lambda t: stats.long(t.sub, NUM, "double").groupBy("name").agg(F.min("v").alias("low"), F.max("v").alias("high"), f.rnd(mean("v"), 6).alias("mean"), f.rnd(F.stddev_samp("v"), 4).alias("std")), f"SELECT name, min(v) AS low, max(v) AS high, {R(A('v'), 6)} AS mean, {R('stddev_samp(v)', 4)} AS std FROM ({long_sql(NUM, 'DOUBLE')}) GROUP BY 1"),
     ("prof_topk", lambda t: stats.top_values(t.sub, CAT, 10), f"SELECT name, v, n, CAST(r AS INT) AS r FROM (SELECT name, v, count(*) AS n, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, v) AS r FROM ({long_sql(CAT, 'VARCHAR')}) GROUP BY 1, 2) WHERE r <= 10"),
-    ("prof_dups", lambda t: t.raw.groupBy(F.trim("customerID").alias("id")).agg(F.count("*").alias("n")).agg(F.sum(C("n") - 1).alias("duplicate_ids")), 'SELECT count(*) - count(DISTINCT trim("customerID")) AS duplicate_ids FROM raw'),
-    ("prof_describe", lambda t: ranks.quantiles(stats.long(t.sub, NUM, "double"), ["name"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select("name", *(f.rnd(C(c), 4).alias(c) for c in ("q25", "q50", "q75"))), f"SELECT name, {R('quantile_cont(v, 0.25)', 4)} AS q25, {R('quantile_cont(v, 0.5)', 4)} AS q50, {R('quantile_cont(v, 0.75)', 4)} AS q75 FROM ({long_sql(NUM, 'DOUBLE')}) GROUP BY 1"),
     ("stat_target", lambda t: count(t.sub, "churn").withColumn("share", C("n") / F.sum("n").over(Window.partitionBy())), "SELECT churn, count(*) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM sub GROUP BY 1"),
-    ("stat_missing", lambda t: stats.long(t.raw.withColumn("TotalCharges", clean.number("TotalCharges")), ("TotalCharges", "tenure"), "double").groupBy("name").agg(F.count_if(C("v").isNull()).alias("missing")), """SELECT 'TotalCharges' AS name, count_if(TRY_CAST(trim("TotalCharges") AS DOUBLE) IS NULL) AS missing FROM raw UNION ALL SELECT 'tenure', count_if(tenure IS NULL) FROM raw"""),
     ("stat_iqr", lambda t: stats.outliers(t.sub, "total_charges").select("customer_id"), "SELECT customer_id FROM sub, (SELECT quantile_cont(total_charges, 0.25) AS a, quantile_cont(total_charges, 0.75) AS b FROM sub) WHERE total_charges < a - 1.5 * (b - a) OR total_charges > b + 1.5 * (b - a)"),
     ("stat_zscore", lambda t: stats.far(t.read("lineitem"), "l_extendedprice", 3).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem, (SELECT avg(CAST(l_extendedprice AS DOUBLE)) AS m, stddev_pop(CAST(l_extendedprice AS DOUBLE)) AS s FROM lineitem) WHERE abs((CAST(l_extendedprice AS DOUBLE) - m) / s) > 3"),
-    ("stat_pearson", lambda t: t.sub.agg(*(f.rnd(F.corr(a, b), 6).alias(f"{a}__{b}") for i, a in enumerate(NUM) for b in NUM[:i])), "SELECT " + ", ".join(f"{R(f'corr({a}, {b})', 6)} AS {a}__{b}" for i, a in enumerate(NUM) for b in NUM[:i]) + " FROM sub"),
-    ("stat_spearman", lambda t: ranks.average_ranks(ranks.average_ranks(t.sub, "tenure_months", "a"), "monthly_charges", "b").agg(f.rnd(F.corr("a", "b"), 6).alias("rho")), f"SELECT {R('corr(a, b)', 6)} AS rho FROM (SELECT rank() OVER (ORDER BY tenure_months) + (count(*) OVER (PARTITION BY tenure_months) - 1) / 2.0 AS a, rank() OVER (ORDER BY monthly_charges) + (count(*) OVER (PARTITION BY monthly_charges) - 1) / 2.0 AS b FROM sub)"),
     ("stat_crosstab", lambda t: count(t.sub, "contract_type", "churn"), "SELECT contract_type, churn, count(*) AS n FROM sub GROUP BY 1, 2"),
     ("stat_chi2", lambda t: stats.chi2(t.sub, CAT, "churn").select("name", "dof", f.rnd(C("chi2"), 6).alias("chi2"), f.rnd(stats.chi2_tail(C("chi2"), C("dof")), 6).alias("p_value")), "SELECT name, dof, floor(chi2 * 1000000.0 + 0.5) / 1000000.0 AS chi2, floor(greatest(0.0::DOUBLE, 1.0::DOUBLE - (SELECT sum(exp((dof / 2.0::DOUBLE + n) * ln(chi2 / 2.0::DOUBLE) - chi2 / 2.0::DOUBLE - lgamma(dof / 2.0::DOUBLE + n + 1))) FROM range(2000) r(n))) * 1000000.0 + 0.5) / 1000000.0 AS p_value FROM chi"),
-    ("stat_cramer", lambda t: stats.chi2(t.sub, CAT, "churn").select("name", f.rnd(F.sqrt(C("chi2") / (C("total") * C("least"))), 6).alias("v")), "SELECT name, floor(sqrt(chi2 / (total * least)) * 1000000.0 + 0.5) / 1000000.0 AS v FROM chi"),
     ("stat_mi", lambda t: stats.mutual_information(t.sub, CAT, "churn").select("name", f.rnd(C("mi"), 6).alias("mi")), f"WITH c AS (SELECT name, v, churn, count(*) AS n FROM ({long_sql(CAT, 'VARCHAR')}) GROUP BY 1, 2, 3), m AS (SELECT name, n, sum(n) OVER (PARTITION BY name, v) AS a, sum(n) OVER (PARTITION BY name, churn) AS b, sum(n) OVER (PARTITION BY name) AS s FROM c) SELECT name, {R('sum(n / s::DOUBLE * ln(n::DOUBLE * s / (a::DOUBLE * b)))', 6)} AS mi FROM m GROUP BY 1"),
     ("stat_rate", lambda t: stats.long(t.sub, CAT, "string", "churn").groupBy("name", "v").agg(F.avg("churn").alias("rate")), f"SELECT name, v, avg(churn) AS rate FROM ({long_sql(CAT, 'VARCHAR')}) GROUP BY 1, 2"),
     ("stat_hist", lambda t: count(t.sub.withColumn("bin", F.least(F.floor(P() * 12), F.lit(11))), "bin"), "SELECT CAST(least(floor(churn_probability * 12), 11) AS BIGINT) AS bin, count(*) AS n FROM sub GROUP BY 1"),
     ("stat_box", lambda t: ranks.quantiles(t.sub, ["contract_type"], "monthly_charges", {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}).select("contract_type", *(f.rnd(C(f"q{i}"), 4).alias(f"q{i}") for i in range(5))), "SELECT contract_type, " + ", ".join(f"{R(f'quantile_cont(monthly_charges, {p})', 4)} AS q{i}" for i, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))) + " FROM sub GROUP BY 1"),
     ("stat_countby", lambda t: count(stats.long(t.sub, CAT, "string", "churn"), "name", "v", "churn"), f"SELECT name, v, churn, count(*) AS n FROM ({long_sql(CAT, 'VARCHAR')}) GROUP BY 1, 2, 3"),
-    ("stat_kde", lambda t: count(t.sub.withColumn("bin", F.floor(C("tenure_months") / 6)), "churn", "bin").withColumn("density", C("n") / (F.sum("n").over(Window.partitionBy("churn")) * 6)), "SELECT churn, CAST(floor(tenure_months / 6) AS BIGINT) AS bin, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY churn) * 6 AS DOUBLE) AS density FROM sub GROUP BY 1, 2"),
     ("stat_scatter", lambda t: count(t.gold.withColumns({"x": F.floor(C("tenure_months") / 12), "y": F.floor(C("monthly_charges") / 20)}), "x", "y", "customer_segment"), "SELECT CAST(floor(tenure_months / 12) AS BIGINT) AS x, CAST(floor(monthly_charges / 20) AS BIGINT) AS y, customer_segment, count(*) AS n FROM gold GROUP BY 1, 2, 3"),
-    ("base_stats", lambda t: stats.long(t.base, NUM, "double").groupBy("name").agg(f.rnd(mean("v"), 6).alias("mean"), f.rnd(F.stddev_samp("v"), 4).alias("std")), f"SELECT name, {R(A('v'), 6)} AS mean, {R('stddev_samp(v)', 4)} AS std FROM ({long_sql(NUM, 'DOUBLE')}) WHERE k % 2 = 0 GROUP BY 1"),
     ("drift_psi", lambda t: drift.psi(t.base, t.now, "monthly_charges").select(f.rnd(C("psi"), 6).alias("psi"), "n_now"), "SELECT floor(psi * 1000000.0 + 0.5) / 1000000.0 AS psi, n_now FROM psi1"),
     ("join_range", lambda t: count(drift.binned(t.now, drift.edges(t.base, "monthly_charges"), "monthly_charges"), "bin"), "SELECT bin, count(*) AS n FROM now_bins GROUP BY 1"),
-    ("drift_cat", lambda t: drift.shares(t.base, t.now, "contract_type"), "SELECT contract_type, a / CAST(sum(a) OVER () AS DOUBLE) AS base_share, b / CAST(sum(b) OVER () AS DOUBLE) AS now_share FROM (SELECT contract_type, count_if(k % 2 = 0) AS a, count_if(k % 2 = 1) AS b FROM sub GROUP BY 1)"),
-    ("drift_sev", lambda t: drift.psi(t.base, t.now, "monthly_charges").select(drift.severity(C("psi")).alias("severity")), "SELECT CASE WHEN psi >= 0.25 THEN 'Critical' WHEN psi >= 0.1 THEN 'Warning' ELSE 'Stable' END AS severity FROM psi1"),
-    ("drift_run", lambda t: drift.run(t.base, t.now, ("tenure_months", "monthly_charges", "total_charges", "charges_ratio")), None),
     ("ev_class", lambda t: evaluate.classification(t.sub, P() >= 0.5, C("churn")), f"SELECT {', '.join(f'{R(x, 6)} AS {n}' for n, x in (('accuracy', '(tp + tn) / n'), ('precision', 'tp / (tp + fp)'), ('recall', 'tp / (tp + fn)'), ('f1', '2 * tp / (2 * tp + fp + fn)'), ('brier', 'brier')))} FROM (SELECT count(*)::DOUBLE AS n, count_if(churn = 1 AND churn_probability >= 0.5)::DOUBLE AS tp, count_if(churn = 0 AND churn_probability < 0.5)::DOUBLE AS tn, count_if(churn = 0 AND churn_probability >= 0.5)::DOUBLE AS fp, count_if(churn = 1 AND churn_probability < 0.5)::DOUBLE AS fn, {A('(churn_probability - churn) * (churn_probability - churn)', 12)} AS brier FROM sub)"),
     ("ev_confusion", lambda t: count(t.sub.withColumn("pred", (P() >= 0.5).cast("int")), "churn", "pred"), "SELECT churn, CAST(churn_probability >= 0.5 AS INT) AS pred, count(*) AS n FROM sub GROUP BY 1, 2"),
     ("ev_auc", lambda t: evaluate.auc(t.sub, "churn_probability", "churn"), "SELECT floor((sum(r) FILTER (churn = 1) - count_if(churn = 1) * (count_if(churn = 1) + 1) / 2.0::DOUBLE) / (count_if(churn = 1)::DOUBLE * count_if(churn = 0)) * 1000000.0 + 0.5) / 1000000.0 AS auc FROM (SELECT churn, rank() OVER (ORDER BY churn_probability) + (count(*) OVER (PARTITION BY churn_probability) - 1) / 2.0::DOUBLE AS r FROM sub)"),

@@ -61,7 +61,7 @@ def test_latency_and_quantiles(spark):
     df = spark.range(1, 101).select(F.col("id").cast("double").alias("value"), F.lit("e").alias("k"))
     r = evaluate.latency(df, ["k"]).first()
     assert (r.p50, r.p95, r.p99, r.n) == (50.0, 95.0, 99.0, 100)
-    q = ranks.quantiles(df, [], "value", {"m": 0.5, "a": 0.25}, 3.0).first()
+    q = ranks.quantiles(df, [], "value", {"m": 0.5, "a": 0.25}, 3).first()
     assert (q.m, q.a) == (50.5, 25.75)
 
 

@@ -9,11 +9,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import quantiles
+from .store import stored
 
 C = F.col
 SEED = 42
@@ -53,7 +54,7 @@ def classifiers(label: str = "churn") -> dict:
     return {"logistic": LogisticRegression(**kw, maxIter=20, regParam=0.01), "forest": RandomForestClassifier(**kw, numTrees=50, maxDepth=6, seed=SEED), "boosted": GBTClassifier(**kw, maxIter=20, maxDepth=4, seed=SEED)}
 
 
-def _judged(scored: DataFrame, label: str) -> dict[str, float]:
+def judged(scored: DataFrame, label: str) -> dict[str, float]:
     of = lambda m: MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(scored)
     return {"auc": BinaryClassificationEvaluator(labelCol=label).evaluate(scored), "accuracy": of("accuracy"), "f1": of("f1")}
 
@@ -63,13 +64,14 @@ def compare(df: DataFrame, label: str = "churn") -> tuple[dict, list[tuple]]:
     fit, judge = (typed(d) for d in split(df))
     fit = weighted(fit, label).cache()
     fitted = {name: Pipeline(stages=[*prepared(), model]).fit(fit) for name, model in classifiers(label).items()}
-    scores = [(name, *_judged(model.transform(judge), label).values()) for name, model in fitted.items()]
+    scores = [(name, *judged(model.transform(judge), label).values()) for name, model in fitted.items()]
     fit.unpersist()
     return fitted, sorted(scores, key=lambda s: -s[1])
 
 
 def cross_validated(df: DataFrame, folds: int = 5, label: str = "churn") -> list[tuple]:
-    """(name, mean auc, its standard deviation) of each classifier over the folds."""
+    """(name, mean auc, its standard deviation) of each classifier over the folds, by a fit each; ``folds`` has the logistic one
+    of all folds at once."""
     rows = weighted(typed(df), label)
     rows = Pipeline(stages=prepared()).fit(rows).transform(rows).select("features", label, "weight").cache()
     out = []
@@ -80,20 +82,6 @@ def cross_validated(df: DataFrame, folds: int = 5, label: str = "churn") -> list
     return out
 
 
-def tuned(df: DataFrame, draws: int = 5, folds: int = 3, label: str = "churn") -> list[tuple]:
-    """(regularisation, mixing, mean auc) of seeded draws for the logistic model."""
-    import random
-
-    rng = random.Random(SEED)
-    rows = weighted(typed(df), label)
-    rows = Pipeline(stages=prepared()).fit(rows).transform(rows).select("features", label, "weight").cache()
-    model = classifiers(label)["logistic"]
-    grid = [ParamGridBuilder().baseOn({model.regParam: 10 ** rng.uniform(-4, 0), model.elasticNetParam: rng.random()}).build()[0] for _ in range(draws)]
-    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, parallelism=4, seed=SEED).fit(rows)
-    rows.unpersist()
-    return [(g[model.regParam], g[model.elasticNetParam], m) for g, m in zip(grid, cv.avgMetrics)]
-
-
 def value_models(df: DataFrame, label: str = "total_charges") -> list[tuple]:
     """(name, r2, rmse, mae) of regressors for the value on held-out rows, best first; the label is no feature."""
     fit, judge = (typed(d) for d in split(df))
@@ -118,14 +106,13 @@ def segments(df: DataFrame, low: int = 2, high: int = 6) -> tuple[object, list[t
     """The fitted pipeline, (k, silhouette) of every k, and the rows with cluster and segment. Fewer than 3 becomes 4."""
     rows = typed(df)
     scale = Pipeline(stages=[VectorAssembler(inputCols=list(NUMBERS), outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True)]).fit(rows)
-    points = scale.transform(rows).cache()
+    points = stored(scale.transform(rows), "points")
     judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
     fits = {k: KMeans(k=k, seed=SEED, featuresCol="scaled", predictionCol="cluster").fit(points) for k in range(low, high + 1)}
     scores = [(k, judge.evaluate(m.transform(points))) for k, m in fits.items()]
     best = max(scores, key=lambda s: s[1])[0]
     model = fits[4 if best < 3 else best]
     out = model.transform(points).drop("numbers", "scaled")
-    points.unpersist()
     return model, scores, out.join(F.broadcast(segment_ranks(out)), "cluster")
 
 
@@ -167,40 +154,11 @@ def learning_curve(df: DataFrame, label: str = "churn", fractions=FRACTIONS) ->
     return out
 
 
-RUNS = "model string, version string, run int, status string, n_rows long, metrics map<string,double>"
-
-
 def promoted(champion: dict | None, challenger: dict, metric: str) -> bool:
     """A challenger replaces a champion only if its metric is higher."""
     return champion is None or challenger[metric] > champion[metric]
 
 
-def retrained(old: DataFrame, new: DataFrame) -> list[tuple]:
-    """Rows of RUNS: a champion of each model fitted on ``old``, a challenger on ``new``, both judged on held-out rows of ``new``.
-
-    Churn is decided by AUC and value by r2; clusters have no champion and stay in staging."""
-    fits, judge = [typed(split(d)[0]) for d in (old, new)], typed(split(new)[1])
-
-    def churn(rows):
-        return _judged(Pipeline(stages=[*prepared(), classifiers()["logistic"]]).fit(weighted(rows)).transform(judge), "churn")
-
-    def value(rows):
-        stages = [*prepared(tuple(c for c in NUMBERS if c != "total_charges")), LinearRegression(labelCol="total_charges")]
-        scored = Pipeline(stages=stages).fit(rows).transform(judge)
-        return {m: RegressionEvaluator(labelCol="total_charges", metricName=m).evaluate(scored) for m in ("r2", "rmse", "mae")}
-
-    def clusters(rows):
-        return {"silhouette": ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(segmenter(rows).transform(judge))}
-
-    sizes, out = [d.count() for d in fits], []
-    for name, fit, metric in (("churn", churn, "auc"), ("ltv", value, "r2"), ("segmentation", clusters, None)):
-        first, second = fit(fits[0]), fit(fits[1])
-        wins = metric is not None and promoted(first, second, metric)
-        status = ("staging", "staging") if metric is None else ("archived", "production") if wins else ("production", "staging")
-        out += [(name, f"v{i + 1}", i + 1, status[i], sizes[i], m) for i, m in enumerate((first, second))]
-    return out
-
-
 def version_counts(runs: DataFrame) -> DataFrame:
     """(model, production, versions, flagged): a model without a production version is flagged."""
     production = F.max(F.when(C("status") == "production", C("version")))

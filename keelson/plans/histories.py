@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as f
 from ..functions import rules
-from ..operators import clean, decide, drift, models, stats
+from ..operators import clean, decide, drift, folds, models, runs, stats
 from .decisions import _fits, _num, _text
 from .queries import CAT, C, R, long_sql, many
 
@@ -75,7 +75,7 @@ trend AS (SELECT day, '{column}' AS feature, CASE WHEN sum(n) > 0 THEN abs(sum((
 
 
 def _runs(t):
-    return t.spark.createDataFrame(models.retrained(t.sub.filter("k % 2 = 0"), t.sub), models.RUNS)
+    return runs.table(runs.fitted_once(t.spark, t.sf_dir, t.sub.filter("k % 2 = 0"), t.sub))
 
 
 _psi = "floor(psi * 1000000.0 + 0.5) / 1000000.0"
@@ -98,6 +98,8 @@ many(
     ("ml_learning", _fits("fraction double, n_rows long, f1_fit double, f1_held double", models.learning_curve), None),
     ("ml_segapply", lambda t: models.assigned(*_halves(t)).select("customer_id", "cluster", "segment"), None),
     ("ml_retrain", lambda t: _runs(t).select("model", "version", "run", "status", "n_rows", F.explode("metrics").alias("metric", "value")), None),
+    ("ml_cv", lambda t: folds.cross_validated(t.sub, [0.01]), None),
+    ("ml_tune", lambda t: folds.cross_validated(t.sub, folds.draws(5), 3), None),
     ("agg_models", lambda t: models.version_counts(_runs(t)), None),
     ("join_metrics", lambda t: models.versions_compared(_runs(t), "churn", "v1", "v2"), None),
     ("top_modelrun", lambda t: models.picked_runs(_runs(t), {"churn": "auc", "ltv": "r2", "segmentation": "silhouette"}), None),

@@ -4,9 +4,11 @@ import json
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from keelson.operators import models, sinks
+from keelson.operators import folds, models, runs, sinks
 from keelson.sources import files
 from keelson.sources.fixture import subscribers
 from keelson.streaming import arrivals
@@ -103,10 +105,25 @@ def test_segments(spark):
 
 def test_folds_and_draws(spark):
     sub = subscribers(spark, SF)
-    draws = models.tuned(sub, draws=2, folds=2)
-    assert len(draws) == 2 and all(0.5 < auc <= 1 for _, _, auc in draws)
-    folds = models.cross_validated(sub, folds=2)
-    assert [name for name, *_ in folds] == ["logistic", "forest", "boosted"] and all(0.5 < auc <= 1 for _, auc, _ in folds)
+    by_fits = models.cross_validated(sub, folds=2)
+    assert [name for name, *_ in by_fits] == ["logistic", "forest", "boosted"] and all(0.5 < auc <= 1 for _, auc, _ in by_fits)
+    rows = folds.folded(sub, 3).cache()
+    beta = folds.fitted(rows, 3, [0.01, 0.2])
+    for f in range(3):
+        for k, setting in enumerate((0.01, 0.2)):
+            fit = rows.filter(F.col("fold") != f).withColumn("features", array_to_vector("x"))
+            model = LogisticRegression(labelCol="y", weightCol="w", maxIter=500, regParam=setting, tol=1e-13).fit(fit)
+            assert abs(model.coefficients.toArray() - beta[f, k, :-1]).max() < 1e-6 and abs(model.intercept - beta[f, k, -1]) < 1e-6
+    scores = folds.scored(rows, beta)
+    for r in folds.judged(scores).collect():
+        one = scores.filter((F.col("setting") == r.setting) & (F.col("fold") == r.fold)).toPandas()
+        pos, neg = one.p[one.y == 1].to_numpy(), one.p[one.y == 0].to_numpy()
+        auc = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+        yes = one.p >= 0.5
+        tp = (yes & (one.y == 1)).sum()
+        assert (r.auc, r.accuracy, r.f1) == pytest.approx((auc, (yes == one.y).mean(), 2 * tp / (yes.sum() + one.y.sum())))
+    out = folds.cross_validated(sub, folds.draws(3), 3).collect()
+    assert len(out) == 3 and [r.mean_auc for r in out if r.best] == [max(r.mean_auc for r in out)]
 
 
 def test_rows_that_are_added_are_scored_once(spark, tmp_path):
@@ -124,7 +141,7 @@ def test_rows_that_are_added_are_scored_once(spark, tmp_path):
 
 def test_versions_of_models(spark):
     runs = spark.createDataFrame(
-        [("churn", "v1", 1, "archived", 9, {"auc": 0.7, "f1": 0.5}), ("churn", "v2", 2, "production", 9, {"auc": 0.8, "accuracy": 0.6}), ("churn", "v3", 3, "staging", 9, {"auc": 0.75}), ("kinds", "v1", 1, "staging", 9, {"silhouette": 0.4})], models.RUNS
+        [("churn", "v1", 1, "archived", 9, {"auc": 0.7, "f1": 0.5}), ("churn", "v2", 2, "production", 9, {"auc": 0.8, "accuracy": 0.6}), ("churn", "v3", 3, "staging", 9, {"auc": 0.75}), ("kinds", "v1", 1, "staging", 9, {"silhouette": 0.4})], "model string, version string, run int, status string, n_rows long, metrics map<string,double>"
     )
     assert {tuple(r) for r in models.version_counts(runs).collect()} == {("churn", "v2", 3, False), ("kinds", None, 1, True)}
     assert {tuple(r) for r in models.versions_compared(runs, "churn", "v1", "v2").collect()} == {("auc", 0.7, 0.8, 0.1), ("f1", 0.5, None, None), ("accuracy", None, 0.6, None)}
@@ -133,13 +150,24 @@ def test_versions_of_models(spark):
     assert models.promoted(None, {"auc": 0.1}, "auc") and not models.promoted({"auc": 0.7}, {"auc": 0.7}, "auc")
 
 
-def test_runs_come_from_fits(spark):
+def test_runs_are_fitted_once_and_last(spark, monkeypatch):
     sub = subscribers(spark, SF)
-    rows = {(r[0], r[1]): r for r in models.retrained(sub.filter("k % 2 = 0"), sub)}
+    s = runs.fitted_once(spark, "a test", sub.filter("k % 2 = 0"), sub)
+    rows = {(r.model, r.version): r for r in runs.table(s).collect()}
     assert set(rows) == {(m, v) for m in ("churn", "ltv", "segmentation") for v in ("v1", "v2")}
     for m, metric in (("churn", "auc"), ("ltv", "r2")):
-        wins = rows[m, "v2"][5][metric] > rows[m, "v1"][5][metric]
-        assert (rows[m, "v1"][3], rows[m, "v2"][3]) == (("archived", "production") if wins else ("production", "staging"))
+        wins = rows[m, "v2"].metrics[metric] > rows[m, "v1"].metrics[metric]
+        assert (rows[m, "v1"].status, rows[m, "v2"].status) == (("archived", "production") if wins else ("production", "staging"))
+        assert runs.production(s, m).stages
+    assert {rows["segmentation", v].status for v in ("v1", "v2")} == {"staging"} and runs.production(s, "segmentation") is None
+    monkeypatch.setattr(runs, "_fit", lambda *a: pytest.fail("fitted again"))
+    assert runs.table(runs.fitted_once(spark, "a test", sub.filter("k % 2 = 0"), sub)).count() == 6
+    runs.retrain(s, "churn", sub, sub, "churn-1")  # a replay
+    assert runs.table(s).count() == 6
+
+
+def test_curve_and_places(spark):
+    sub = subscribers(spark, SF)
     curve = models.learning_curve(sub, fractions=(0.5, 1.0))
     assert [c[0] for c in curve] == [0.5, 1.0] and curve[0][1] < curve[1][1] and all(0.5 < x <= 1 for c in curve for x in c[2:])
     placed = models.assigned(sub.filter("k % 2 = 0"), sub.filter("k % 2 = 1"))

@@ -86,3 +86,34 @@ OUTREACH = (
     "Please let us know if you would like us to apply this credit to your account today."
 )
 OUTREACH_SAVING, OUTREACH_LTV = 0.15, 0.35
+#: Lowest probability, risk label and confidence of a prediction; fixed values. Below them the model's own threshold decides.
+MODEL_LEVELS = ((0.90, "Very High Risk", "Very High"), (0.75, "High Risk", "High"), (0.60, "Medium Risk", "Medium"))
+ABOVE_THRESHOLD, BELOW_THRESHOLD, SURE_BELOW = ("Low Risk", "Low"), "Minimal Risk", 0.15
+#: Lowest probability, offer, priority, months and share of the monthly charge saved, of rows scored at ingestion; fixed texts.
+INGEST_OFFERS = (
+    (HIGH_RISK, "15% Contract Upgrade Discount + Priority Support", "Critical", 12.0, 0.7),
+    (MEDIUM_RISK, "Retention Check-in & Free Speed Boost", "High", 6.0, 0.5),
+    (0.0, "Standard Support & Loyalty Points", "Low", 0.0, 0.0),
+)
+#: Actions by whether risk and value are high; fixed texts.
+QUADRANTS = {
+    (True, True): ("Assign to VIP Dedicated Account Manager for outreach.", "Offer 20% loyalty discount on contract renewal.", "Provide complimentary premium tech support upgrade."),
+    (True, False): ("Trigger automated digital survey touchpoint.", "Suggest downgrade to lower-cost tier or contract option."),
+    (False, True): ("Evaluate eligibility for cross-selling premium products.", "Enroll in VIP loyalty reward circle program."),
+    (False, False): ("Maintain standard digital engagement flow.",),
+}
+#: Reasons of the recommendations, in their order; marks stand for percent, value and services. Fixed texts.
+REASONS = (
+    ("Subscriber has High Churn Risk (%1$.1f%%)", "High subscriber lifetime valuation ($%2$.2f)", "High value subscriber retention target"),
+    ("Flexible Month-to-month contract structure is active", "Migrating to 1-year telecom contract reduces churn probability by over 70%%"),
+    ("High-speed internet is active but subscriber lacks Tech Support add-ons", "Tech support subscribers exhibit a 60%% reduction in attrition rates"),
+    ("Active account has low service density (%3$d services)", "Bundling OTT entertainment, online backup, or security creates subscriber stickiness"),
+    ("Manual billing payment method is active", "Autopay subscribers exhibit a 66%% lower attrition rate than manual check payers"),
+    ("Subscriber account is highly stable and active",),
+)
+#: The retention offer of each segment; fixed texts.
+CAMPAIGNS = {
+    "High-Value Subscribers": "Offer Executive Retention & Fiber Upgrade Pack", "Loyal Subscribers": "Offer Multi-Service OTT & Security Bundle",
+    "Growth Subscribers": "Offer Annual Contract Migration Discount", "Budget Subscribers": "Offer Autopay Billing Discount & Entry Fiber Upgrade",
+}
+CAMPAIGN = "Standard Loyalty Campaign"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from .gold import mean
-from .ranks import average_ranks, running
+from .ranks import running, running_counts
+from .store import stored
 
 C = F.col
 
@@ -15,25 +16,42 @@ C = F.col
 def classification(df: DataFrame, predicted: Column, label: Column) -> DataFrame:
     n = lambda c: F.count_if(c).cast("double")
     tp, fp, fn, tn = n(predicted & (label == 1)), n(predicted & (label == 0)), n(~predicted & (label == 1)), n(~predicted & (label == 0))
-    gap = C("churn_probability") - label
-    out = {"accuracy": (tp + tn) / F.count("*"), "precision": tp / (tp + fp), "recall": tp / (tp + fn), "f1": 2 * tp / (2 * tp + fp + fn), "brier": mean(gap * gap, 12)}
+    gap, all_rows, part = C("churn_probability") - label, F.count("*").cast("double"), F.try_divide
+    chance = ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (all_rows * all_rows)
+    out = {
+        "accuracy": part(tp + tn, all_rows), "precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "f1": part(2 * tp, 2 * tp + fp + fn), "balanced": (part(tp, tp + fn) + part(tn, tn + fp)) / 2,
+        "mcc": part(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), "kappa": part(part(tp + tn, all_rows) - chance, 1 - chance), "brier": mean(gap * gap, 12),
+    }
     return df.agg(*(rnd(v, 6).alias(k) for k, v in out.items()))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by average ranks."""
-    r = average_ranks(df, score, "r")
-    pos, neg = F.count_if(C(label) == 1).cast("double"), F.count_if(C(label) == 0).cast("double")
-    return r.agg(rnd((F.sum(F.when(C(label) == 1, C("r"))) - pos * (pos + 1) / 2.0) / (pos * neg), 6).alias("auc"))
+def areas(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(auc, average_precision): the area under the ROC curve by average ranks, and precision averaged over the recall gained.
+
+    Scores are counted once with their labels; places among all rows and among positive ones are two prefix sums."""
+    counts = stored(df.filter(C(score).isNotNull()).groupBy(C(score).cast("double").alias("v")).agg(F.count("*").alias("n"), F.count_if(C(label) == 1).alias("pos")), "scores")
+    of_all = running_counts(counts, [])
+    of_pos = running_counts(counts.select("v", C("pos").alias("n")), []).select("v", C("n").alias("pos"), C("before").alias("pos_before"), C("total").alias("positive"))
+    rows = of_all.join(of_pos, "v")
+    ranks = F.sum(C("pos") * (C("before") + (C("n") + 1) / 2.0))
+    p, every = F.max("positive").cast("double"), F.max("total")
+    gained = F.sum(C("pos") * (C("positive") - C("pos_before")) / (C("total") - C("before")))
+    return rows.agg(rnd(F.try_divide(ranks - p * (p + 1) / 2.0, p * (every - p)), 6).alias("auc"), rnd(F.try_divide(gained, p), 6).alias("average_precision"))
 
 
 def sweep(df: DataFrame, p: Column, label: Column) -> DataFrame:
-    """(th, tp, fp) at each hundredth: rows are counted by hundredth once, then summed from above."""
+    """(th, tp, fp, precision, recall, f1, best) at each hundredth: rows are counted by hundredth once, then summed from above.
+
+    best: the highest F1, the smallest threshold on ties."""
     bins = df.groupBy(F.floor(p * 100).alias("th")).agg(F.count_if(label == 1).alias("a"), F.count_if(label == 0).alias("b"))
     every = df.sparkSession.range(0, 101).withColumnRenamed("id", "th")
-    down = Window.orderBy(F.desc("th"))
+    down, whole = Window.orderBy(F.desc("th")), Window.partitionBy()  # 101 rows
     rows = every.join(bins, "th", "left").fillna(0, ["a", "b"])
-    return rows.select("th", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp")).filter("th between 1 and 99")
+    rows = rows.select("th", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp"), F.sum("a").over(whole).alias("p")).filter("th between 1 and 99")
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    rows = rows.withColumns({"precision": part(C("tp"), C("tp") + C("fp")), "recall": part(C("tp"), C("p")), "f1": part(2 * C("tp"), C("tp") + C("fp") + C("p"))})
+    best = F.row_number().over(Window.orderBy(F.desc("f1"), "th")) == 1
+    return rows.select("th", "tp", "fp", *(rnd(C(c), 6).alias(c) for c in ("precision", "recall", "f1")), best.alias("best"))
 
 
 def latency(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as f
@@ -27,17 +27,34 @@ def scored(sub: DataFrame) -> DataFrame:
     return rows.withColumns({"primary_recommendation": C("first.recommendation"), "recommendation_priority": C("first.priority"), "estimated_revenue_saved": C("first.saved")}).drop("first", "max_ltv")
 
 
-def bundle(rows: DataFrame) -> DataFrame:
-    """Score, values, segment, persona and first recommendation of rows that come in, each from its own columns.
+def levels(p: Column, threshold: float = rules.HIGH_RISK) -> dict[str, Column]:
+    """Prediction, risk label and confidence of a probability."""
+    label, confidence = rules.ABOVE_THRESHOLD
+    below = F.when(p < rules.SURE_BELOW, "High").otherwise("Medium")
+    return {
+        "churn_prediction": (p >= threshold).cast("int"),
+        "risk_level": f.chain((*((p >= low, name) for low, name, _ in rules.MODEL_LEVELS), (p >= threshold, label)), rules.BELOW_THRESHOLD),
+        "confidence": f.chain((*((p >= low, sure) for low, _, sure in rules.MODEL_LEVELS), (p >= threshold, confidence)), below),
+    }
+
+
+def bundled(rows: DataFrame) -> DataFrame:
+    """What a row with a ``churn_probability`` gets at ingestion, from its own columns."""
+    p, monthly, months = C("churn_probability"), C("monthly_charges"), F.greatest(F.lit(1), C("tenure_months"))
+    offer = lambda i: f.chain(((p >= o[0], o[i]) for o in rules.INGEST_OFFERS[:-1]), rules.INGEST_OFFERS[-1][i])
+    segment = f.chain((((monthly >= 80.0) & (months >= 24), "High-Value Subscribers"), (months >= 36, "Loyal Subscribers"), (monthly < 45.0, "Budget Subscribers")), "Growth Subscribers")
+    return rows.withColumns({
+        **levels(p), "predicted_ltv": f.ltv_total(), "projected_future_ltv": f.ltv_projected(p), "intelligence_score": f.rnd((1.0 - p) * 100.0, 1), "customer_segment": segment,
+        "primary_recommendation": offer(1), "recommendation_priority": offer(2), "estimated_revenue_saved": f.rnd(monthly * offer(3) * offer(4), 2),
+        "rfm_persona": F.when(monthly > 70.0, "High Spender").otherwise("Regular Subscriber"),
+    })
 
-    Absent columns have their defaults, as have null ones."""
+
+def bundle(rows: DataFrame) -> DataFrame:
+    """Score and bundle rows that come in; absent columns and nulls have their defaults."""
     for c, v in rules.COLUMN_DEFAULTS.items():
         rows = rows.withColumn(c, F.coalesce(C(c), F.lit(v)) if c in rows.columns else F.lit(v))
-    rows = engineered(rows.withColumn("churn_probability", f.linear_probability()))
-    p = C("churn_probability")
-    rows = rows.withColumns({"predicted_ltv": f.ltv_total(), "projected_future_ltv": f.ltv_projected(p), "customer_segment": f.segment(), "risk_level": f.tier3(p), **f.rfm_fixed(p, C("tenure_months"), C("total_charges"))})
-    rows = rows.withColumns({"rfm_persona": f.persona(C("r_score"), C("f_score"), C("m_score")), "first": F.element_at(f.recommendations(p, C("predicted_ltv")), 1)})
-    return rows.withColumns({"primary_recommendation": C("first.recommendation"), "recommendation_priority": C("first.priority")}).drop("first")
+    return bundled(rows.withColumn("churn_probability", f.linear_probability()))
 
 
 def money(c, digits: int = 6):

@@ -1,3 +1,3 @@
 """plans of the retention library."""
 
-from . import decisions, histories, profiles, queries, stores  # noqa: F401  (the others register their queries with these)
+from . import decisions, histories, measures, profiles, queries, stores  # noqa: F401  (the others register their queries with these)

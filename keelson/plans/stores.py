@@ -10,7 +10,7 @@ from ..operators import check, clean, gold, store
 from ..operators.store import COLUMNS, Store
 from ..sources.fixture import SUB
 from ..streaming import arrivals
-from .oracle import VIEWS
+from .measures import BUNDLE, BUNDLE_SQL
 from .queries import T3, Tables, many
 
 C = F.col
@@ -189,7 +189,7 @@ def counted(t: Tables) -> DataFrame:
     return arrivals.sync_state(s, "counters").withColumn("last_sync", F.date_format("last_sync", "yyyy-MM-dd HH:mm:ss"))
 
 
-SCORED = ("contract_type", "monthly_charges", "churn_probability", "risk_level", "predicted_ltv", "projected_future_ltv", "customer_segment", "rfm_persona", "primary_recommendation", "recommendation_priority")
+SCORED = ("contract_type", "monthly_charges", "churn_probability", *BUNDLE)
 
 
 def database(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +204,7 @@ def database(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def synced(t: Tables) -> DataFrame:
     """Both days synced, each twice: rows are scored when they are new or have changed, and in no other sync."""
-    s = new_store(t, {"scored": "version long, customer_id string, updated_at timestamp, sync int, " + ", ".join(f"{c} {'double' if c in ('monthly_charges', 'churn_probability', 'predicted_ltv', 'projected_future_ltv') else 'string'}" for c in SCORED)})
+    s = new_store(t, {"scored": "version long, customer_id string, updated_at timestamp, sync int, " + ", ".join(f"{c} {'int' if c == 'churn_prediction' else 'double' if c in ('monthly_charges', 'churn_probability', 'predicted_ltv', 'projected_future_ltv', 'intelligence_score', 'estimated_revenue_saved') else 'string'}" for c in SCORED)})
     for n, rows in enumerate(rows for rows in database(t) for _ in range(2)):
         score = lambda df, n=n: gold.bundle(df).select("customer_id", "updated_at", F.lit(n).alias("sync"), *SCORED)
         store.sync(s, "scored", rows, "customer_id", score, f"sync-{n}")
@@ -216,12 +216,7 @@ _d = {k: repr(v) for k, v in gold.rules.COLUMN_DEFAULTS.items()}
 _services = ", ".join(f"{_d[c]} AS {c}" for c in store.RELATIONS["services"])
 _p = SUB[SUB.index("ROUND(1/(1+EXP") : SUB.index(" AS churn_probability")]
 _src = f"src0 AS (SELECT * REPLACE ({_services}, CAST(CASE WHEN k % 4 = 0 THEN tenure_months + 1 ELSE tenure_months END AS INT) AS tenure_months, CASE WHEN k % 7 <> 0 THEN contract_type ELSE {_d['contract_type']} END AS contract_type, CASE WHEN k % 7 <> 0 THEN paperless_billing ELSE {_d['paperless_billing']} END AS paperless_billing, CASE WHEN k % 7 <> 0 THEN payment_method ELSE {_d['payment_method']} END AS payment_method) FROM sub), src AS (SELECT * REPLACE ({_p} AS churn_probability) FROM src0)"
-_chain = ", ".join(f"{n}_s AS ({v})" for n, v in ((n, VIEWS[n]) for n in ("eng", "eng2", "recs0", "recs", "firsts")))
-for _n in ("recs0", "recs", "eng2", "eng"):
-    _chain = _chain.replace(f"FROM {_n} ", f"FROM {_n}_s ").replace(f"FROM {_n})", f"FROM {_n}_s)")
-_chain = _chain.replace("FROM sub)", "FROM src)")
-_persona = VIEWS["gold0"][VIEWS["gold0"].index("CASE WHEN r_score >= 4") : VIEWS["gold0"].index(" AS rfm_persona")]
-_sync = f"WITH {_src}, {_chain} SELECT customer_id, CASE WHEN k % 4 = 0 OR k % 10 = 9 THEN 1440 + k % 10 ELSE k % 100 END AS updated, CAST(CASE WHEN k % 4 = 0 OR k % 10 = 9 THEN 2 ELSE 0 END AS INT) AS sync, contract_type, monthly_charges, churn_probability, {T3} AS risk_level, predicted_ltv, projected_future_ltv, customer_segment, {_persona} AS rfm_persona, primary_recommendation, recommendation_priority FROM eng2_s JOIN firsts_s USING (customer_id)"
+_sync = f"WITH {_src} SELECT customer_id, CASE WHEN k % 4 = 0 OR k % 10 = 9 THEN 1440 + k % 10 ELSE k % 100 END AS updated, CAST(CASE WHEN k % 4 = 0 OR k % 10 = 9 THEN 2 ELSE 0 END AS INT) AS sync, contract_type, monthly_charges, churn_probability, {BUNDLE_SQL} FROM src"
 _last = "SELECT customer_id AS id, CASE WHEN k % 3 <> 0 AND k % 50 = 0 THEN 2 * k + 1 ELSE 2 * k END AS row_no, CAST(CASE WHEN k % 3 = 0 OR k % 50 = 0 THEN tenure_months + 1 ELSE tenure_months END AS INT) AS tenure FROM sub"
 _n = "(coalesce(user_id, 0) % 50 + 1)"
 _ok = "coalesce(event_type <> 'error', false)"

@@ -37,7 +37,7 @@ def test_padded_row_is_trimmed_and_blank_totals_are_imputed(spark):
     out = {r.customer_id: r for r in clean.cleaned(raw).collect()}
     assert out["1234-CUST"].total_charges == 299.5 and out["1234-CUST"].churn == 0
     assert out["a"].total_charges == 0.0 and out["b"].total_charges == 50.0 and out["c"].total_charges == 300.0 and "d" not in out
-    assert {(r.index, r.column) for r in check.raw_report(raw).collect() if r.check != "column"} == {(6, "gender"), (6, "Churn")}
+    assert {(r["index"], r.column) for r in check.raw_report(raw).collect() if r.check != "column"} == {(6, "gender"), (6, "Churn")}
 
 
 def test_features_and_tiers(spark):

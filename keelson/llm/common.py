@@ -3,32 +3,25 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import shared_dir
+
 #: One word: a run of characters that are neither a space nor one of U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="keelson-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     It cuts the lineage (a lost executor costs no recomputation of what came before) and gives the
-    planner the true size of the table."""
+    planner the true size of the table. Results are lazy and read these tables, so nothing here deletes them: the
+    caller removes ``keelson`` below the shared folder when the results are stored."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/keelson/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

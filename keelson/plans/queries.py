@@ -118,7 +118,7 @@ many(
     ("flt_text", lambda t: t.sub.filter(F.lower(F.concat_ws(" ", "customer_id", "contract_type", "payment_method", "internet_service")).contains("fiber")).select("customer_id"), "SELECT customer_id FROM sub WHERE lower(concat_ws(' ', customer_id, contract_type, payment_method, internet_service)) LIKE '%fiber%'"),
     ("flt_page", lambda t: t.sub.filter("k > 100").orderBy("k").limit(50).select("k", "customer_id"), "SELECT k, customer_id FROM sub WHERE k > 100 ORDER BY k LIMIT 50"),
     ("flt_point", lambda t: t.events.select(C("user_id").alias("k")).distinct().join(t.sub, "k", "left").select("k", F.coalesce("customer_id", F.lit("unknown")).alias("customer_id"), F.coalesce("monthly_charges", F.lit(70.0)).alias("monthly_charges")), "SELECT e.k, coalesce(customer_id, 'unknown') AS customer_id, coalesce(monthly_charges, 70.0) AS monthly_charges FROM (SELECT DISTINCT user_id AS k FROM events) e LEFT JOIN sub USING (k)"),
-    ("id_extract", lambda t: t.read("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?i)(?<![A-Za-z0-9])[A-Z]{3,4}-[0-9]{4}(?![A-Za-z0-9])"), F.lit(0))).alias("place", "id")).select("doc_id", "place", F.upper("id").alias("customer_id")), r"SELECT doc_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS place, upper(unnest(ids)) AS customer_id FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '_', ' ', 'g'), '(?i)\b[A-Z]{3,4}-[0-9]{4}\b') AS ids FROM documents)"),
+    ("id_extract", lambda t: t.read("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?<![0-9A-Za-z_])(?:[0-9A-Za-z]{4,5}-[0-9A-Za-z]{5}|[0-9]{4,6})(?![0-9A-Za-z_])"), F.lit(0))).alias("place", "id")).select("doc_id", "place", F.upper("id").alias("customer_id")), r"SELECT doc_id, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS place, upper(unnest(ids)) AS customer_id FROM (SELECT doc_id, regexp_extract_all(text, '\b(?:[0-9A-Za-z]{4,5}-[0-9A-Za-z]{5}|[0-9]{4,6})\b') AS ids FROM documents)"),
 )
 
 # cleaning and quality

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import clean
@@ -77,15 +77,15 @@ def first_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def staged(rows: DataFrame, path: str, checks: Column, dropped: Column | None = None) -> tuple[DataFrame, dict]:
-    """Write rows with their ``failures`` and their ``side`` (valid, failed, dropped), and count them in the same pass.
+    """Write rows with their ``failures`` and their ``side`` (valid, failed, dropped) in one pass, and count them.
 
-    Returns the stored rows and the counts that were observed. A task that runs twice may be observed twice, so
-    the counts decide only whether there are failures at all; exact ones are read from what is stored."""
+    Returns the stored rows and counts that are read from them, by their folders. No Observation is used: in this Spark
+    version a session that has one can't run MLlib's logistic models any more (they carry the session)."""
     side = F.when(F.coalesce(dropped, F.lit(False)) if dropped is not None else F.lit(False), "dropped").when(F.size("failures") > 0, "failed").otherwise("valid")
-    seen = Observation()
-    out = rows.withColumn("failures", checks).withColumn("side", side).observe(seen, F.count("*").alias("rows"), F.count_if(C("side") == "failed").alias("failed"))
+    out = rows.withColumn("failures", checks).withColumn("side", side)
     out.write.mode("overwrite").partitionBy("side").parquet(path)
-    return rows.sparkSession.read.schema(out.schema).parquet(path), seen.get
+    stored = rows.sparkSession.read.schema(out.schema).parquet(path)
+    return stored, stored.agg(F.count("*").alias("rows"), F.count_if(C("side") == "failed").alias("failed")).first().asDict()
 
 
 def ingest(store: Store, raw: DataFrame, filename: str, batch: str, order: str = "row_no") -> dict:
@@ -93,14 +93,14 @@ def ingest(store: Store, raw: DataFrame, filename: str, batch: str, order: str =
 
     One pass cleans, checks and stages: rows of an unknown label are dropped, others are valid or failed. Only if none
     has failed are they published, by one commit of the store; else the store stays at its last commit."""
-    warned = Observation()
-    rows = clean.trimmed(clean.renamed(raw.observe(warned, F.sum(F.size(failures(raw, RAW_RULES))).alias("n"))))
+    warned = raw.agg(F.sum(F.size(failures(raw, RAW_RULES))).alias("n")).first()["n"]
+    rows = clean.trimmed(clean.renamed(raw))
     rows = first_rows(rows, "customer_id", order)
     rows = clean.imputed(rows).withColumn("churn", F.when(C("churn") == "Yes", 1).when(C("churn") == "No", 0))
     ids = rows.select(*(c for c in rows.columns if c in RULES))
     stored, seen = staged(rows, store.folder(batch, "checked"), failures(ids, RULES, closed=True), C("churn").isNull())
     count = stored.agg(F.count("*").alias("ids"), F.sum("copies").alias("rows"), F.count_if(C("side") == "dropped").alias("dropped"), F.count_if((C("side") != "dropped") & (C("imputed") == 1)).alias("imputed"), F.sum(F.when(C("side") == "failed", F.size("failures"))).alias("failures")).first()
-    out = {"filename": filename, "initial": count["rows"] or 0, "duplicates_removed": (count["rows"] or 0) - count["ids"], "dropped_rows": count["dropped"], "missing_imputed": count["imputed"], "raw_failures": warned.get["n"] or 0, "failures_count": count["failures"] or 0}
+    out = {"filename": filename, "initial": count["rows"] or 0, "duplicates_removed": (count["rows"] or 0) - count["ids"], "dropped_rows": count["dropped"], "missing_imputed": count["imputed"], "raw_failures": warned or 0, "failures_count": count["failures"] or 0}
     if seen["failed"]:
         return out | {"status": "failed", "rows_processed": 0, "rows_inserted": 0, "rows_skipped": 0, "rows_failed": 0}
     note = load(store, stored.filter("side = 'valid'").select(*COLUMNS), filename, batch)

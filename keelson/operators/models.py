@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import math
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -18,6 +20,8 @@ from .store import stored
 
 C = F.col
 SEED = 42
+#: Rows of a partition that models are fitted on.
+PART_ROWS = 30_000
 NUMBERS = ("tenure_months", "monthly_charges", "total_charges")
 KINDS = ("contract_type", "internet_service", "payment_method", "tech_support", "online_security")
 SEGMENTS = ("High-Value Subscribers", "Loyal Subscribers", "Growth Subscribers", "Budget Subscribers")
@@ -29,6 +33,15 @@ def split(df: DataFrame, key: str = "customer_id", part: float = 0.2) -> tuple[D
     return df.filter(~held), df.filter(held)
 
 
+def spread(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``df`` cached, dealt evenly over partitions of some ``part_rows`` rows; a table of fewer rows stays as it lies.
+
+    A file can be one task's to read, while trees go over their rows a hundred times. No key deals the rows, as one value could
+    have them all; the order within partitions is fixed, since trees draw their rows by it."""
+    parts = math.ceil(df.count() / part_rows)
+    return (df.repartition(parts).sortWithinPartitions(F.xxhash64(*df.columns)) if parts > 1 else df).cache()
+
+
 def prepared(numbers=NUMBERS, kinds=KINDS) -> list:
     """Stages: medians for missing numbers, standardised; one column for each value of a kind, unknown values in one of their own."""
     return [
@@ -82,15 +95,22 @@ def cross_validated(df: DataFrame, folds: int = 5, label: str = "churn") -> list
     return out
 
 
-def value_models(df: DataFrame, label: str = "total_charges") -> list[tuple]:
-    """(name, r2, rmse, mae) of regressors for the value on held-out rows, best first; the label is no feature."""
-    fit, judge = (typed(d) for d in split(df))
-    stages = prepared(tuple(c for c in NUMBERS if c != label))
+def value_models(df: DataFrame, label: str = "total_charges", part_rows: int = PART_ROWS) -> list[tuple]:
+    """(name, r2, rmse, mae) of regressors for the value on held-out rows, best first; the label is no feature.
+
+    The stages are fitted once, and what they make of the rows is kept for all regressors."""
+    rows = spread(df.select("customer_id", *dict.fromkeys((*NUMBERS, *KINDS, label))), part_rows)
+    fit, judge = (typed(d) for d in split(rows))
+    stages = Pipeline(stages=prepared(tuple(c for c in NUMBERS if c != label))).fit(fit)
+    fit, judge = (stages.transform(d).select("features", label).cache() for d in (fit, judge))
     models = {"linear": LinearRegression(labelCol=label), "forest": RandomForestRegressor(labelCol=label, numTrees=50, maxDepth=6, seed=SEED), "boosted": GBTRegressor(labelCol=label, maxIter=20, seed=SEED)}
     out = []
     for name, model in models.items():
-        scored = Pipeline(stages=[*stages, model]).fit(fit).transform(judge)
+        scored = model.fit(fit).transform(judge).select("prediction", label).cache()
         out.append((name, *(RegressionEvaluator(labelCol=label, metricName=m).evaluate(scored) for m in ("r2", "rmse", "mae"))))
+        scored.unpersist()
+    for d in (fit, judge, rows):
+        d.unpersist()
     return sorted(out, key=lambda s: -s[1])
 
 

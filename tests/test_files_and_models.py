@@ -94,6 +94,46 @@ def test_models(spark):
     assert models.value_models(sub)[0][1] > 0.8
 
 
+def customers_of_one_file(spark, folder, n=600):
+    """Subscribers from a customer file of one row group, so of one task; one in 50 has no balance, so no charges."""
+    k = F.col("id")
+    kinds = F.array(*map(F.lit, ("AUTOMOBILE", "MACHINERY", "HOUSEHOLD")))
+    rows = spark.range(1, n + 1, numPartitions=1).select(
+        k.alias("c_custkey"), F.format_string("Customer#%09d", k).alias("c_name"), (k % 25).cast("int").alias("c_nationkey"), F.when(k % 50 > 0, (k * 7919 % 10051) / 100).alias("c_acctbal"), kinds[(k % 3).cast("int")].alias("c_mktsegment")
+    )
+    rows.write.parquet(f"{folder}/customer.parquet")
+    return subscribers(spark, str(folder))
+
+
+def spied(monkeypatch, cls):
+    """The partitions of the rows of each fit of an estimator."""
+    seen, fit = [], cls._fit
+    monkeypatch.setattr(cls, "_fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    return seen
+
+
+def test_rows_to_fit_are_spread(spark, tmp_path):
+    sub = customers_of_one_file(spark, tmp_path).withColumn("customer_id", F.when(F.col("k") > 500, F.col("customer_id")))  # most have no id
+    rows = models.spread(sub, 100)
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sub.rdd.getNumPartitions() == 1 and len(sizes) == 6 and min(sizes) > 80 and max(sizes) < 120
+    assert sorted(map(str, rows.collect())) == sorted(map(str, sub.collect()))
+    rows.unpersist()
+    same = models.spread(sub, 600)
+    assert same.collect() == sub.collect()
+    same.unpersist()
+
+
+def test_value_models_of_one_file(spark, tmp_path, monkeypatch):
+    sub = customers_of_one_file(spark, tmp_path).filter("monthly_charges is not null")
+    whole = dict((name, scores) for name, *scores in models.value_models(sub))
+    stages, trees = spied(monkeypatch, models.Imputer), [spied(monkeypatch, c) for c in (models.RandomForestRegressor, models.GBTRegressor)]
+    parts = dict((name, scores) for name, *scores in models.value_models(sub, part_rows=100))
+    assert stages == [6] and trees == [[6], [6]]
+    assert parts["linear"] == pytest.approx(whole["linear"]) and set(parts) == set(whole) == {"linear", "forest", "boosted"}
+    assert all(parts[name][0] == pytest.approx(whole[name][0], abs=0.05) for name in parts)
+
+
 def test_segments(spark):
     sub = subscribers(spark, "/root/testdata/sf0.01")
     _, scores, rows = models.segments(sub)

@@ -134,6 +134,19 @@ def test_value_models_of_one_file(spark, tmp_path, monkeypatch):
     assert all(parts[name][0] == pytest.approx(whole[name][0], abs=0.05) for name in parts)
 
 
+def test_comparison_of_one_file(spark, tmp_path, monkeypatch):
+    sub = customers_of_one_file(spark, tmp_path)
+    whole = dict((name, scores) for name, *scores in models.compare(sub)[1])
+    stages, trees = spied(monkeypatch, models.Imputer), [spied(monkeypatch, c) for c in (models.RandomForestClassifier, models.GBTClassifier)]
+    fitted, scores = models.compare(sub, part_rows=100)
+    parts = dict((name, scores) for name, *scores in scores)
+    assert stages == [6] and trees == [[6], [6]]
+    assert parts["logistic"] == pytest.approx(whole["logistic"], abs=0.02) and set(parts) == set(whole) == set(fitted)
+    held = models.typed(models.split(sub)[1])
+    for name, model in fitted.items():  # whole pipelines, from raw rows to what was judged
+        assert tuple(models.judged(model.transform(held), "churn").values()) == pytest.approx(tuple(parts[name]), abs=0.02)
+
+
 def test_segments(spark):
     sub = subscribers(spark, "/root/testdata/sf0.01")
     _, scores, rows = models.segments(sub)

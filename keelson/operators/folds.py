@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import SEED, prepared, typed, weighted
+from .models import SEED, inputs, prepared, spread, typed, weighted
 from .ranks import running_counts
 from .store import stored
 
@@ -20,10 +20,13 @@ C = F.col
 
 def folded(df: DataFrame, folds: int, key: str = "customer_id", label: str = "churn") -> DataFrame:
     """(x, y, w, fold) of every row, stored: its features, label, class weight, and a fold by a hash of its key."""
-    rows = weighted(typed(df), label)
+    raw = spread(inputs(df, key, label))
+    rows = weighted(typed(raw), label)
     rows = Pipeline(stages=prepared()).fit(rows).transform(rows)
     fold = F.pmod(F.xxhash64(F.lit(SEED), F.lit("fold"), key), F.lit(folds)).cast("int")
-    return stored(rows.select(vector_to_array("features").alias("x"), C(label).cast("double").alias("y"), C("weight").alias("w"), fold.alias("fold")), "folds")
+    out = stored(rows.select(vector_to_array("features").alias("x"), C(label).cast("double").alias("y"), C("weight").alias("w"), fold.alias("fold")), "folds")
+    raw.unpersist()
+    return out
 
 
 def summed(rows: DataFrame, product) -> np.ndarray:

@@ -80,8 +80,10 @@ def fitted_once(spark: SparkSession, name: str, old: DataFrame, new: DataFrame)
     except AnalysisException:
         done, s = 0, Store.create(spark, s.uri, {"runs": RUNS})
     if done < 2 * len(GATES):
-        fits, judge = [models.split(d)[0] for d in (old, new)], models.split(new)[1]
+        *fits, judge = (models.spread(models.inputs(d, "churn")) for d in (models.split(old)[0], *models.split(new)))
         for model in GATES:
             for n, rows in enumerate(fits):
                 retrain(s, model, rows, judge, f"{model}-{n}")
+        for rows in (*fits, judge):
+            rows.unpersist()
     return s
